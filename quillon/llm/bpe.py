@@ -19,37 +19,26 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Regex, Tokenizer, pre_tokenizers
+from tokenizers import Regex, pre_tokenizers
 
 from . import common
+from .splits import PLAIN, L, N, S, specials, tokenizer, word_ids
 
-#: Characters for which one lower-casing, NFC and white-space rule holds in all libraries.
-PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xff]*\Z")
 #: The pattern by which the word tokenizer splits; a fixed value of its file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters of text whose words share a list.
 BLOCK_CHARS = 24 << 20
 
 
-@functools.lru_cache(maxsize=4)
-def tokenizer(path: str) -> Tokenizer:
-    out = Tokenizer.from_file(path)
-    out.no_truncation()
-    out.no_padding()
-    return out
-
-
 class WordSplitter:
     """Cuts a text into the words the tokenizer merges on their own, and its special tokens."""
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
-        specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")")
-        self.plain = regex.compile(WORDS).findall
+        self.special = specials(self.tok)[1]
+        self.plain = re.compile(rf"[{L}]+|'(?:s|t|re|ve|m|ll|d)|[{N}]|[^{S}{L}{N}]+").findall
         self.exact = pre_tokenizers.Split(Regex(WORDS), "removed", invert=True)
 
     def piece(self, text: str) -> list[str]:
@@ -129,11 +118,9 @@ def _encode(path: str):
     def run(lists: pa.Table) -> pa.Table:
         tok, known = tokenizer(path), {}
         groups = [zlib.decompress(x).decode().split("\n") for x in lists.column("words").to_pylist()]
-        new = list(dict.fromkeys(w for g in groups for w in g))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = e.ids
+        special = specials(tok)[0]
+        for w in {w for g in groups for w in g}:
+            known[w] = [special[w]] if w in special else word_ids(tok, w)
         counts, flat = [], []
         for g in groups:
             ids = [known[w] for w in g]
