@@ -208,19 +208,28 @@ def _judge(model: Model | None, keep_at: float):
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
 
 
+def _scored(docs: DataFrame, model: Model | None, carry: list[str], text_col: str, keep_at: float) -> DataFrame:
+    common.bounded_batches(docs.sparkSession)
+    kinds = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    return docs.select(F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry))).mapInArrow(
+        _judge(model, keep_at),
+        "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean" + kinds,
+    )
+
+
 def judged(
     docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text", keep_at: float = KEEP_AT
 ) -> DataFrame:
     """One row per row of ``docs``: the counts, base_failed, probability, kept and the columns ``carry``.
 
     A null text counts as empty and so fails the base rules.  Without a model
-    the probability is null and the base rules decide alone.  Carried columns
-    are passed on untouched, whatever their names.
+    the probability is null and the base rules decide alone.
     """
-    common.bounded_batches(docs.sparkSession)
-    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    out = docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry))).mapInArrow(
-        _judge(model, keep_at),
-        "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean" + (", " + kinds if kinds else ""),
-    )
-    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
+    out = _scored(docs, model, carry, text_col, keep_at)
+    return out.select(*FIELDS, *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))
+
+
+def filtered(docs: DataFrame, model: Model | None, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns, whatever these are called."""
+    out = _scored(docs, model, docs.columns, text_col, keep_at).where("kept")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

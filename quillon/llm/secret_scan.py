@@ -83,7 +83,7 @@ def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source",
     max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, n_assign, n_access, n_hex, base and spans.
+    """One row per row of ``docs``: id, text_hash, n_assign, n_access, n_hex, base and spans.
 
     ``base`` and ``spans`` are arrays of (start, rank, kind, end) by start,
     then kind; places count code points and ends are exclusive.  ``spans``
@@ -131,17 +131,20 @@ def scan(
     out = f.join(a, F.col("f.id").eqNullSafe(F.col("a.id")) & (F.col("f.text_hash") == F.col("a.text_hash")), "left")
     count = lambda k: F.size(F.filter("f.base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select(
-        F.col("f.id").alias("id"), *(count(k[0]) for k in KINDS), F.col("f.base").alias("base"),
+        F.col("f.id").alias("id"), F.col("f.text_hash").alias("text_hash"), *(count(k[0]) for k in KINDS), F.col("f.base").alias("base"),
         F.array_sort(F.concat("f.base", F.coalesce("a.owned", F.array().cast(found.schema["base"].dataType)))).alias("spans"),
     )
 
 
 def redacted(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of (id, text_hash, spans) replaced by ``mark``; other columns stay as they are."""
-    s = spans.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    text = F.col(f"`{text_col}`")
-    met = docs.join(s, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash")), "left")
-    return met.withColumn(text_col, cut(text, F.col("_spans"), mark)).select(*docs.columns)
+    s = spans.where(F.size("spans") > 0).dropDuplicates(["id", "text_hash"]).select("id", "text_hash", "spans")
+    s = common.small(s, 2048).alias("_s")
+    d = docs.alias("_d")
+    text = F.col(f"_d.`{text_col}`")
+    met = d.join(s, F.col(f"_d.`{id_col}`").eqNullSafe(F.col("_s.id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_s.text_hash")), "left")
+    clean = cut(text, F.col("_s.spans"), mark)
+    return met.select(*(clean.alias(c) if c == text_col else F.col(f"_d.`{c}`") for c in docs.columns))
 
 
 def cut(text: Column, spans: Column, mark: str) -> Column:

@@ -171,3 +171,141 @@ def near_duplicates(
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     named = named.join(least, "root").select("fp", "component")
     return prints.join(named, "fp").select("id", "fp", "component")
+
+
+#: Distinct pieces of a text, least by hash, under which similar texts meet; and words of a piece on average.
+PIECES, PIECE_WORDS = 8, 16
+#: Segments of the first 64 bits that divide the pieces that very many texts share.
+SPLITS = ((0, 23), (23, 23), (41, 23))
+
+
+def wide(text: str | None, shingle: int, words: int = 4) -> tuple[list[int], list[int]]:
+    """(fingerprint of ``words`` x 64 bits, piece hashes) of a text's shingles."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return [0] * words, [0]
+    runs = map(b" ".join, zip(*(found[i:] for i in range(shingle)))) if len(found) >= shingle else iter([b" ".join(found)])
+    total, n, firsts = np.zeros(64 * words, np.int64), 0, []
+    while block := list(itertools.islice(runs, 255 * 64)):
+        h = np.empty((len(block), words), np.uint64)
+        for j in range(0, words, 2):
+            two = b"".join([xxhash.xxh3_128_digest(x, j) for x in block])
+            h[:, j : j + 2] = np.frombuffer(two, np.uint64).reshape(-1, 2)[:, : words - j]
+        n += len(block)
+        firsts.append(h[:, 0].copy())
+        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        for i in range(0, len(bits), 255):
+            total += np.add.reduce(bits[i : i + 255], axis=0).view(np.uint8)
+    h = np.concatenate(firsts)
+    cuts = np.concatenate([[0], np.flatnonzero(h[:-1] % np.uint64(PIECE_WORDS) == 0) + 1])
+    pieces = np.unique(np.add.reduceat(h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(31)), cuts))
+    return np.packbits(total * 2 > n, bitorder="little").view(np.uint64).tolist(), pieces[:PIECES].tolist()
+
+
+def _wide(shingle: int):
+    def run(batches):
+        for b in batches:
+            rows = [wide(t, shingle) for t in b.column(2).to_pylist()]
+            f = np.array([r[0] for r in rows], np.uint64).reshape(-1, 4).view(np.int64)
+            p = pa.array([np.array(r[1], np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(f[:, i].copy()) for i in range(4)), p], ["id", "th", "f0", "f1", "f2", "f3", "pieces"])
+
+    return run
+
+
+def _split_keys(batches):
+    """Divide a piece's texts by the codeword indices near three segments of their fingerprints."""
+    for b in batches:
+        f = b.column("f0").to_numpy().view(np.uint64)
+        rows, keys = [], []
+        for j, (at, width) in enumerate(SPLITS):
+            r, index = golay_indices(((f >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.uint32))
+            rows.append(r)
+            keys.append(index.astype(np.int32) + np.int32(j << 12))
+        take = pa.array(np.concatenate(rows))
+        yield pa.RecordBatch.from_arrays([b.column("piece").take(take), pa.array(np.concatenate(keys)), *(b.column(c).take(take) for c in ("node", "f0", "f1", "f2", "f3"))], ["piece", "part", "node", "f0", "f1", "f2", "f3"])
+
+
+def similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, pair_limit: int = PAIR_LIMIT
+) -> DataFrame:
+    """(id, th, first_id, first_th): each row, by id and text hash, and the least row of its group.
+
+    Texts are linked if their 256-bit SimHashes of ``shingle`` words say that
+    they share ``similarity`` of their shingles.  Two bits of 64 are far less
+    than such texts differ in, so they meet under equal pieces of about
+    ``PIECE_WORDS`` words, eight of each text, instead of whole fingerprints.
+    A piece that more than ``pair_limit`` distinct texts share is divided by
+    the Golay indices near three segments of their fingerprints; a part still
+    too large links its texts to those next to them in each of four orders of
+    fingerprints and to the least equal one.  Equal texts are one node.
+    """
+    spark, folder = docs.sparkSession, common.scratch(docs.sparkSession)
+    common.bounded_batches(spark)
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
+    prints = common.saved(rows.mapInArrow(_wide(shingle), f"id {kind}, th long, f0 long, f1 long, f2 long, f3 long, pieces array<long>"), folder, "wide")
+    bits = ["f0", "f1", "f2", "f3"]
+    node = F.xxhash64(*bits).alias("node")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first")
+    nodes = common.saved(prints.groupBy(*bits).agg(least, F.first("pieces").alias("pieces")).select(node, *bits, "first", "pieces"), folder, "nodes")
+    # expected share of differing bits: the angle between the shingle sets
+    cosine = 2 * similarity / (1 + similarity)
+    share = np.arccos(cosine) / np.pi
+    most = int(256 * share + 1.7 * np.sqrt(256 * share * (1 - share)))
+    near = " + ".join(f"bit_count(x.{f} ^ y.{f})" for f in bits) + f" <= {most}"
+    held = common.saved(nodes.select(F.explode("pieces").alias("piece"), "node", *bits), folder, "pieces")
+    sizes = common.saved(held.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), folder, "sizes")
+
+    def pairs(df: DataFrame, keys: list[str]) -> DataFrame:
+        same = " AND ".join(f"x.{k} = y.{k}" for k in keys)
+        met = df.alias("x").join(df.alias("y"), F.expr(f"{same} AND x.node < y.node AND {near}"))
+        return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    found = pairs(held.join(sizes.where(F.col("n") <= pair_limit).select("piece"), "piece"), ["piece"])
+    hot = held.join(sizes.where(F.col("n") > pair_limit).select("piece"), "piece")
+    if not sizes.where(F.col("n") > pair_limit).isEmpty():
+        parts = common.saved(hot.mapInArrow(_split_keys, "piece long, part int, node long, f0 long, f1 long, f2 long, f3 long"), folder, "parts")
+        each = parts.groupBy("piece", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        fit = parts.join(each.where(F.col("n") <= pair_limit).select("piece", "part"), ["piece", "part"])
+        found = found.unionAll(pairs(fit, ["piece", "part"]))
+        full = parts.join(each.where(F.col("n") > pair_limit).select("piece", "part"), ["piece", "part"])
+        found = found.unionAll(_neighbours(full.select("node", *bits).distinct(), most))
+    roots = common.components(found.distinct(), folder)
+    named = nodes.join(roots, "node", "left").select(*bits, "first", F.coalesce("root", "node").alias("root"))
+    firsts = named.groupBy("root").agg(F.min("first").alias("g"))
+    named = named.join(firsts, "root").select(*bits, "g")
+    return prints.join(named, bits).select("id", "th", F.col("g.id").alias("first_id"), F.col("g.th").alias("first_th"))
+
+
+def _neighbours(full: DataFrame, most: int, reach: int = 32) -> DataFrame:
+    """Links of each text to the next ones in four sorted orders, for parts too large to pair.
+
+    Ranges of fingerprints are sorted in parallel; a text is compared with the
+    ``reach`` before it, whatever the part's size.
+    """
+    out = None
+    for lead in range(4):
+        order = [f"f{(lead + j) % 4}" for j in range(4)]
+        dealt = full.select("node", *order).repartitionByRange(*order).sortWithinPartitions(*order)
+        links = dealt.mapInArrow(_ahead(most, reach), "a long, b long")
+        out = links if out is None else out.unionAll(links)
+    return out
+
+
+def _ahead(most: int, reach: int):
+    def run(batches):
+        node, f = np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
+        for b in batches:
+            old = len(node)
+            node = np.concatenate([node, b.column(0).to_numpy()])
+            f = np.concatenate([f, np.stack([b.column(i).to_numpy().view(np.uint64) for i in range(1, 5)], 1)])
+            for gap in range(1, min(reach, len(node) - 1) + 1):
+                i = np.arange(max(old - gap, 0), len(node) - gap)
+                i = i[i + gap >= old]
+                hit = i[np.bitwise_count(f[i] ^ f[i + gap]).sum(1) <= most]
+                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(node[hit + gap])], ["a", "b"])
+            node, f = node[-reach:], f[-reach:]
+
+    return run
