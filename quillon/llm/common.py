@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -14,7 +15,9 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small, since one text may hold many kilobytes."""
+    """Keep Arrow batches small, since one text may hold many kilobytes; let workers find this package."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
     if int(spark.conf.get(ARROW_ROWS, "10000")) > rows:
         spark.conf.set(ARROW_ROWS, str(rows))
 
