@@ -27,8 +27,10 @@ ODD = 0x9E3779B97F4A7C15
 CHUNK = 1 << 16
 #: Strings that a run between two cuts may hold.
 RUN = 256
-#: Bytes of distinct runs in a block; an anchor with more than that goes by its strings' own hashes.
-BLOCK_BYTES = 1 << 20
+#: Bytes of distinct runs in a block, few enough to stay in a core's cache.
+BLOCK_BYTES = 1 << 16
+#: An anchor with more bytes of distinct runs goes by its strings' own hashes.
+GROUP_BYTES = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -91,47 +93,67 @@ def repeated(contents: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     code = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int64) + n_sep
     code[starts[1:] - 1] = np.arange(n_sep)  # every content ends in a mark of its own
     n = len(code)
-    order, rank = _sorted(code, length)
-    # the transform, and for each sorted suffix the row of the suffix one shorter
+    order = _sorted(code, length)
+    # the transform; row ``step[j]`` has one byte more in front than row ``j``
     last = code[order - 1]
-    back = np.argsort(last, kind="stable")
+    back = np.argsort(last.astype(np.uint16) if last.max() < 1 << 16 else last, kind="stable")
+    step = np.empty(n, np.int64)
+    step[back] = np.arange(n)
     edge = np.ones(n, bool)
     edge[1:] = last[back[1:]] != last[back[:-1]]
-    active = np.flatnonzero(~edge)
-    for _ in range(length - 1):  # one more byte in front of every interval
-        if not len(active):
+    before = np.empty(n, np.int64)  # the row above with the same byte in front
+    before[back[1:]] = back[:-1]
+    before[back[0]] = -1
+    fresh = np.flatnonzero(edge)
+    for _ in range(length - 1):  # one more byte in front of every interval that was divided last
+        if not len(fresh):
             break
-        group = np.cumsum(edge, dtype=np.int32)
-        split = group[back[active]] != group[back[active - 1]]
-        if split.any():
-            edge[active[split]] = True
-            active = active[~split]
+        ends = np.append(np.flatnonzero(edge), n)
+        size = ends[np.searchsorted(ends, fresh, "right")] - fresh
+        total = int(size.sum())
+        if 2 * total > n:
+            group = np.cumsum(edge, dtype=np.int32)
+            open_ = np.flatnonzero(~edge)
+            fresh = open_[group[back[open_]] != group[back[open_ - 1]]]
+        else:
+            rows = np.repeat(fresh - (np.cumsum(size) - size), size) + np.arange(total)
+            first = before[rows] < np.repeat(fresh, size)
+            fresh = step[rows[first]]
+            fresh = np.sort(fresh[~edge[fresh]])
+        edge[fresh] = True
+    left = np.flatnonzero(~edge)
     hit = np.zeros(n + 1, bool)
-    hit[order[active]] = True
-    hit[order[active - 1]] = True
+    hit[order[left]] = True
+    hit[order[left - 1]] = True
     return [hit[s : s + max(k - length + 1, 0)] for s, k in zip(starts.tolist(), sizes.tolist())]
 
 
-def _sorted(code: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes by their first ``length`` symbols at least, by doubling."""
+def _sorted(code: np.ndarray, length: int) -> np.ndarray:
+    """The suffixes ordered by their first ``length`` symbols at least, by doubling those still equal."""
     n, bits = len(code), int(code.max()).bit_length()
     pack = max(1, 62 // bits)
     padded = np.concatenate([code, np.zeros(pack, np.int64)])
     key = np.zeros(n, np.int64)
     for j in range(pack):
         key = key << bits | padded[j : j + n]
-    h = pack
+    order = np.argsort(key)
+    rank = np.zeros(2 * n + 1, np.int64)  # the place of a suffix's first equal; beyond the end 0
+    slots, ordered, h = np.arange(n), key[order], pack
+    here = order
     while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        step = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        if h >= length or step[-1] == n - 1:
-            return order, rank
-        after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:] + 1
-        key = rank * (n + 1) + after
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        heads = np.flatnonzero(new)
+        rank[here] = slots[np.repeat(heads, np.diff(np.append(heads, len(here))))]
+        if h >= length:
+            return order
+        alone = new & np.append(new[1:], True)
+        slots, here = slots[~alone], here[~alone]
+        if not len(here):
+            return order
+        key = rank[here] * (n + 1) + rank[here + h] + 1
+        by = np.argsort(key)
+        here, ordered = here[by], key[by]
+        order[slots] = here
         h *= 2
 
 
@@ -214,25 +236,36 @@ def _marks(rows: list[tuple], flags: list[np.ndarray], length: int) -> pa.Record
 
 
 def _transform(length: int, block_bytes: int):
-    """Collect whole anchor groups to blocks and expand the intervals of each block."""
+    """Collect whole anchor groups to blocks and expand the intervals of each block.
+
+    A group of one distinct run that occurs several times is repeated as a
+    whole; there is nothing in it to expand.
+    """
 
     def flush(rows):
         return _marks(rows, repeated([r[4] for r in rows], length), length)
 
     def run(batches):
-        block, group, size = [], [], 0
+        block, whole, group, size = [], [], [], 0
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if group and row[0] != group[0][0]:
-                    block += group
+                    (whole if len(group) == 1 and group[0][3] > 1 else block).extend(group)
                     group = []
+                    size = sum(len(r[4]) for r in block) if size >= block_bytes else size
                     if size >= block_bytes:
                         yield flush(block)
                         block, size = [], 0
+                    if len(whole) >= 5000:
+                        yield _marks(whole, [np.zeros(0, bool)] * len(whole), length)
+                        whole = []
                 group.append(row)
                 size += len(row[4])
-        if block + group:
-            yield flush(block + group)
+        (whole if len(group) == 1 and group[0][3] > 1 else block).extend(group)
+        if whole:
+            yield _marks(whole, [np.zeros(0, bool)] * len(whole), length)
+        if block:
+            yield flush(block)
 
     return run
 
@@ -286,7 +319,8 @@ def merged(marks: list[dict]) -> list[tuple[int, int]]:
 
 
 def dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of ``docs``.
 
@@ -316,7 +350,7 @@ def dedup(
         found.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("cnt"), F.first("bytes", ignorenulls=True).alias("bytes")),
         folder, "distinct",
     )
-    marks = common.saved(_marked(distinct, length, block_bytes), folder, "marks")
+    marks = common.saved(_marked(distinct, length, block_bytes, group_bytes), folder, "marks")
     places = found.select("anchor", "c1", "c2", "id", "th", "start").join(marks, ["anchor", "c1", "c2"])
     listed = places.groupBy("id", "th").agg(F.collect_list(F.struct("start", "ranges")).alias("marks"))
     return _with(packed, listed, "marks").select("id", "packed", "marks").mapInArrow(
@@ -330,15 +364,15 @@ def _with(packed: DataFrame, other: DataFrame, column: str) -> DataFrame:
     return met.select("a.*", f"b.{column}")
 
 
-def _marked(distinct: DataFrame, length: int, block_bytes: int) -> DataFrame:
+def _marked(distinct: DataFrame, length: int, block_bytes: int, group_bytes: int) -> DataFrame:
     """(anchor, c1, c2, ranges) of distinct runs with repeated strings.
 
-    An anchor whose distinct runs exceed ``block_bytes`` (a line before or
-    after very many different texts) would not fit a block.  Its strings are
+    An anchor whose distinct runs exceed ``group_bytes`` (a line before or
+    after very many different texts) is not expanded in one task.  Its strings are
     dealt one by one by the 128-bit hash of all their bytes instead, counted
     in parts, and so never meet in one task.
     """
-    hot = distinct.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > block_bytes).select("anchor")
+    hot = distinct.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > group_bytes).select("anchor")
     columns = ["anchor", "c1", "c2", "cnt", "bytes"]
     few = distinct.join(hot, "anchor", "left_anti").select(columns)
     out = few.repartition("anchor").sortWithinPartitions("anchor", "c1", "c2").mapInArrow(
