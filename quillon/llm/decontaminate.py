@@ -93,8 +93,10 @@ def contaminated(
     hits = base.where(F.size("fps") > 0).select("id", "th", F.explode("fps").alias("fp")).join(prints, "fp", "left_semi")
     hits = common.saved(hits.groupBy("id", "th").agg(F.collect_set("fp").alias("fps")), folder, "hits")
     near = common.small(hits.select(F.col("id").alias("hid"), F.col("th").alias("hth"), "fps"), 4096)
-    t = texts.join(near, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth"))).select("id", "th", "n", "w", "fps")
-    t = t.dropDuplicates(["id", "th"])
+    # only texts with a hit are split into words again
+    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    t = plain.join(near, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth"))).select("id", "th", "text", "fps")
+    t = t.dropDuplicates(["id", "th"]).withColumn("w", words(F.col("text"))).withColumn("n", F.size("w"))
     t = t.select("id", "th", "n", "w", "fps", *(grams(F.col("w"), F.col("n"), n).alias(f"h{n}") for n in lengths))
     t = t.select("id", "th", "w", F.concat(_none("struct<s:int,len:int,win:string>"), *(_around(n) for n in lengths)).alias("v"))
     found = t.select("id", "th", F.explode("v").alias("v")).select("id", "th", "v.*")
