@@ -180,7 +180,7 @@ def zero_of(kind: typing.Any) -> typing.Any:
         return False
     if kind is str:
         return ""
-    if isinstance(kind, type) and issubclass(kind, (int, float)) and not issubclass(kind, enum.Enum):
+    if isinstance(kind, type) and issubclass(kind, (int, float)):
         return 0
     return None
 
