@@ -24,24 +24,15 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer
 
 from . import common
+from .splits import PLAIN, L, N, S, specials, tokenizer, word_ids
 
-#: The split of the byte-level tokenizer; a fixed value of its library.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xff]*\Z")
-CACHED_WORDS = 400_000
-
-
-@functools.lru_cache(maxsize=4)
-def tokenizer(path: str) -> Tokenizer:
-    out = Tokenizer.from_file(path)
-    out.no_truncation()
-    out.no_padding()
-    return out
+#: The split of the byte-level tokenizer over plain characters.
+WORDS = rf" ?[{L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+#: Words that a worker remembers; beyond that it starts afresh.
+CACHED_WORDS = 800_000
 
 
 class ByteEncoder:
@@ -49,38 +40,53 @@ class ByteEncoder:
 
     def __init__(self, path: str, dtype: str):
         self.tok, self.dtype = tokenizer(path), dtype
-        specials = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")")
-        self.words = regex.compile(WORDS).findall
-        self.known: dict[str, bytes] = {}
+        ids, self.special = specials(self.tok)
+        self.words = re.compile(WORDS).findall
+        self.known = Known(self._word)
+        self.ids = {w: self._bytes([i]) for w, i in ids.items()}
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        return self._bytes(word_ids(self.tok, word))
+
     def __call__(self, text: str | None, end: int) -> bytes:
         tail = self._bytes([end])
         if not text:
             return tail
         if not PLAIN.match(text):
             return self._bytes(self.tok.encode(text, add_special_tokens=False).ids) + tail
-        out = []
-        for i, part in enumerate(self.special.split(text) if "<|" in text else [text]):
-            words = self.words(part) if i % 2 == 0 else [part]
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            if new:
-                if len(self.known) + len(new) > CACHED_WORDS:
-                    self.known.clear()
-                    new = list(dict.fromkeys(words))
-                for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                    self.known[w] = self._bytes(e.ids)
-            out += map(self.known.__getitem__, words)
-        out.append(tail)
-        return b"".join(out)
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        if "<|" not in text:
+            return b"".join(map(self.known.__getitem__, self.words(text))) + tail
+        out: list[bytes] = []
+        for i, part in enumerate(self.special.split(text)):
+            out += [self.ids[part]] if i % 2 else map(self.known.__getitem__, self.words(part))
+        return b"".join(out) + tail
+
+
+class Known(dict):
+    """Words seen so far; a new one is encoded on its first use."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = self.encode(word)
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, dtype: str) -> ByteEncoder:
+    """One encoder per worker, whose words outlive a task."""
+    return ByteEncoder(path, dtype)
 
 
 def _encode(path: str, dtype: str, end: int):
     def run(batches):
-        encode = ByteEncoder(path, dtype)
+        encode = encoder(path, dtype)
         for b in batches:
             ids = pa.array([encode(t, end) for t in b.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], ["shard", "id", "ids"])
