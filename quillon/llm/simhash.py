@@ -254,14 +254,13 @@ def similar(
     cosine = 2 * similarity / (1 + similarity)
     share = np.arccos(cosine) / np.pi
     most = int(256 * share + 1.7 * np.sqrt(256 * share * (1 - share)))
-    near = " + ".join(f"bit_count(x.{f} ^ y.{f})" for f in bits) + f" <= {most}"
     held = common.saved(nodes.select(F.explode("pieces").alias("piece"), "node", *bits), folder, "pieces")
     sizes = common.saved(held.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), folder, "sizes")
 
     def pairs(df: DataFrame, keys: list[str]) -> DataFrame:
-        same = " AND ".join(f"x.{k} = y.{k}" for k in keys)
-        met = df.alias("x").join(df.alias("y"), F.expr(f"{same} AND x.node < y.node AND {near}"))
-        return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        """A spanning forest of the near texts of each group; groups have ``pair_limit`` texts at most."""
+        dealt = df.select(F.xxhash64(*keys).alias("group"), "node", *bits).repartition("group").sortWithinPartitions("group", "node")
+        return dealt.mapInArrow(_forest(most), "a long, b long")
 
     found = pairs(held.join(sizes.where(F.col("n") <= pair_limit).select("piece"), "piece"), ["piece"])
     hot = held.join(sizes.where(F.col("n") > pair_limit).select("piece"), "piece")
@@ -294,8 +293,62 @@ def _neighbours(full: DataFrame, most: int, reach: int = 32) -> DataFrame:
     return out
 
 
+class Sets:
+    """Disjoint sets of nodes; ``join`` says whether two nodes were apart."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def _forest(most: int):
+    """Compare the texts of each whole group and keep the links that join two parts of it."""
+
+    def links(group: np.ndarray, node: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        out, gap, at = [], 1, np.arange(len(group) - 1)
+        sets: dict[int, Sets] = {}
+        while len(at := at[at + gap < len(group)]) and len(at := at[group[at] == group[at + gap]]):
+            hit = at[np.bitwise_count(f[at] ^ f[at + gap]).sum(1) <= most]
+            for g, x, y in zip(group[hit].tolist(), node[hit].tolist(), node[hit + gap].tolist()):
+                if sets.setdefault(g, Sets()).join(x, y):
+                    out.append((x, y))
+            gap += 1
+        return _links(out)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            cols = [b.column(i).to_numpy() for i in range(6)]
+            now = (cols[0], cols[1], np.stack(cols[2:], 1).view(np.uint64))
+            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
+            if not len(held[0]):
+                continue
+            end = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
+            if end:
+                yield links(*(x[:end] for x in held))
+                held = tuple(x[end:] for x in held)
+        if held is not None and len(held[0]):
+            yield links(*held)
+
+    return run
+
+
 def _ahead(most: int, reach: int):
     def run(batches):
+        sets = Sets()
         node, f = np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
         for b in batches:
             old = len(node)
@@ -305,7 +358,7 @@ def _ahead(most: int, reach: int):
                 i = np.arange(max(old - gap, 0), len(node) - gap)
                 i = i[i + gap >= old]
                 hit = i[np.bitwise_count(f[i] ^ f[i + gap]).sum(1) <= most]
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(node[hit + gap])], ["a", "b"])
+                yield _links([(x, y) for x, y in zip(node[hit].tolist(), node[hit + gap].tolist()) if sets.join(x, y)])
             node, f = node[-reach:], f[-reach:]
 
     return run
