@@ -99,8 +99,8 @@ def _frequencies(batches):
 def _vectors(idf: np.ndarray):
     def run(batches):
         for b in batches:
-            v = [vector(t, idf).astype(np.float32) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.list_(pa.float32())), b.column(1), b.column(2)], ["v", "lang", "rank"])
+            v = [vector(t, idf).astype("<f4").tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), b.column(1), b.column(2)], ["v", "lang", "rank"])
 
     return run
 
@@ -131,13 +131,13 @@ def train(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     sample = texts.join(common.small(chosen, 64), "id", "left_semi").select(
         "text", "lang", F.xxhash64(F.col("id").cast("string")).alias("rank")
-    ).mapInArrow(_vectors(idf), "v array<float>, lang string, rank long")
+    ).mapInArrow(_vectors(idf), "v binary, lang string, rank long")
     by: dict[str, list] = {}
     for r in sample.collect():
         by.setdefault(r["lang"], []).append((r["rank"], r["v"]))
     found, langs, bounds = [], [], []
     for lang in sorted(by):
-        x = np.array([v for _, v in sorted(by[lang])], np.float64)
+        x = np.stack([np.frombuffer(v, "<f4") for _, v in sorted(by[lang], key=lambda p: (p[0], bytes(p[1])))]).astype(np.float64)
         x = x[np.linalg.norm(x, axis=1) > 0]
         if not len(x):
             continue

@@ -161,7 +161,7 @@ def _features(batches):
     for b in batches:
         pairs = [slots(t) for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())), pa.array([p[1].astype(np.float32) for p in pairs], pa.list_(pa.float32())), b.column(1), b.column(2)],
+            [pa.array([p[0].astype("<i4").tobytes() for p in pairs], pa.binary()), pa.array([p[1].astype("<f4").tobytes() for p in pairs], pa.binary()), b.column(1), b.column(2)],
             ["at", "freq", "label", "rank"],
         )
 
@@ -183,10 +183,10 @@ def train(
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna()
     rows = texts.join(F.broadcast(ids), "id").select("text", "label", rank.alias("rank")).mapInArrow(
-        _features, "at array<int>, freq array<float>, label int, rank long"
+        _features, "at binary, freq binary, label int, rank long"
     )
     held = sorted(rows.collect(), key=lambda r: (r["rank"], r["label"], r["at"], r["freq"]))[:max_rows]
-    return fit([(np.array(r["at"], np.int64), np.array(r["freq"]), r["label"]) for r in held])
+    return fit([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["freq"], "<f4"), r["label"]) for r in held])
 
 
 def _judge(model: Model | None, keep_at: float):
