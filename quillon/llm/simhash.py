@@ -266,11 +266,14 @@ def similar(
     hot = held.join(sizes.where(F.col("n") > pair_limit).select("piece"), "piece")
     if not sizes.where(F.col("n") > pair_limit).isEmpty():
         parts = common.saved(hot.mapInArrow(_split_keys, "piece long, part int, node long, f0 long, f1 long, f2 long, f3 long"), folder, "parts")
-        each = parts.groupBy("piece", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        fit = parts.join(each.where(F.col("n") <= pair_limit).select("piece", "part"), ["piece", "part"])
-        found = found.unionAll(pairs(fit, ["piece", "part"]))
-        full = parts.join(each.where(F.col("n") > pair_limit).select("piece", "part"), ["piece", "part"])
-        found = found.unionAll(_neighbours(full.select("node", *bits).distinct(), most))
+        large = parts.groupBy("piece", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > pair_limit).select("piece", "part")
+        large = common.saved(large, folder, "large")
+        if large.isEmpty():
+            found = found.unionAll(pairs(parts, ["piece", "part"]))
+        else:
+            found = found.unionAll(pairs(parts.join(large, ["piece", "part"], "left_anti"), ["piece", "part"]))
+            full = parts.join(large, ["piece", "part"], "left_semi")
+            found = found.unionAll(_neighbours(full.select("node", *bits).distinct(), most))
     roots = common.components(found.distinct(), folder)
     named = nodes.join(roots, "node", "left").select(*bits, "first", F.coalesce("root", "node").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("g"))
