@@ -6,8 +6,9 @@ of documents.  Word lists are cut by word hash into packed pieces, so that the
 pieces of one hash bucket from all blocks meet in one task, which encodes each
 distinct word once and answers every block.  A join on the block then brings
 ids back to each position.  Decoding joins the ids with the id-to-piece table,
-whose size the vocabulary fixes.  Packed lists and position arrays are all that
-is shuffled; a frequent word is sent once per block however often it occurs.
+whose size the vocabulary fixes.  Position arrays are written once, bucketed by
+block, and stay where they are; packed lists are all that is shuffled, and a
+frequent word is sent once per block however often it occurs.
 """
 
 from __future__ import annotations
@@ -58,11 +59,13 @@ class WordSplitter:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zlib.compress(values.astype("<u4").tobytes(), 1)
+    """Little-endian uint32 values, all low bytes first, deflated."""
+    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), "<u4")
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 NAMES = ["block", "id", "at", "bucket", "nth", "words"]
@@ -179,11 +182,11 @@ def encode_decode(
     common.bounded_batches(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
-    split = common.saved(
+    split = common.bucketed(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
             _split(path, block_chars, buckets), f"block long, id {kind}, at binary, bucket int, nth binary, words binary"
         ),
-        common.scratch(spark), "split",
+        common.scratch(spark), "split", "block", buckets,
     )
     lists = split.where("bucket IS NOT NULL").select("bucket", "block", "nth", "words")
     coded = lists.groupBy("bucket").applyInArrow(_encode(path), "block long, nth binary, counts binary, ids binary")

@@ -45,6 +45,16 @@ def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, folder: str, name: str, key: str, buckets: int) -> DataFrame:
+    """Like :func:`saved`, with the rows of equal ``key`` in one of ``buckets`` buckets, so that a join on it leaves them there."""
+    spark, table = df.sparkSession, f"quillon_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{folder}/{name}").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved: only the name goes, the files stay
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def removed(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
