@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 #: A table is broadcast only if its counted size stays below this.
 BROADCAST_BYTES = 32 << 20
@@ -66,6 +66,22 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def least_rows(df: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of each ``part`` that come first by ``rank`` (a 64-bit hash), then ``id``.
+
+    Rows are counted by the rank's upper 16 bits, in the tasks first, so that only rows up to the slot
+    where a part's count reaches ``n`` are sorted: about ``n`` and one slot's rows, however many tasks read.
+    """
+    slot = F.shiftright("rank", 48).alias("slot")
+    counted = df.groupBy("part", slot).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("part").orderBy("slot")) - F.col("n")
+    last = counted.withColumn("before", before).where(F.col("before") < n).groupBy("part").agg(F.max("slot").alias("last"))
+    last = small(saved(last, scratch(df.sparkSession), "last"), 64)
+    near = df.join(last, "part").where(F.shiftright("rank", 48) <= F.col("last")).drop("last")
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("rank", "id"))
+    return near.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))

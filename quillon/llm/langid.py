@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
@@ -112,8 +112,8 @@ def train(
     """Learn from all rows of ``docs`` with a language and a letter.
 
     Document frequencies come from all rows, summed in the tasks first;
-    centroids from at most ``fit_rows`` rows of each language.  Without any
-    row the model knows no language and calls every text unknown.
+    centroids from at most ``fit_rows`` ids of each language, with the least
+    text of a repeated id.  Without any row the model knows no language and calls every text unknown.
     """
     common.bounded_batches(docs.sparkSession)
     rows = docs.select(
@@ -123,15 +123,15 @@ def train(
     for r in rows.select("text").mapInArrow(_frequencies, "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df")).collect():
         df[r["slot"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.05
-    chosen = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("rank"), F.col(lang_col).alias("lang")
-    ).where("lang IS NOT NULL AND id IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy("rank", "id")  # cut to fit_rows in every task before the shuffle
-    chosen = chosen.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= fit_rows).select("id").distinct()
+    ids = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("part")).dropna().distinct()
+    chosen = common.least_rows(ids.withColumn("rank", F.xxhash64(F.col("id").cast("string"))), fit_rows).select("id", F.col("part").alias("lang"))
+    chosen = common.saved(chosen, common.scratch(docs.sparkSession), "chosen")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    sample = texts.join(common.small(chosen, 64), "id", "left_semi").select(
-        "text", "lang", F.xxhash64(F.col("id").cast("string")).alias("rank")
-    ).mapInArrow(_vectors(idf), "v binary, lang string, rank long")
+    # one text an id and language, so that a repeated id adds nothing
+    texts = texts.join(common.small(chosen, 64), ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
+    sample = texts.select("text", "lang", F.xxhash64(F.col("id").cast("string")).alias("rank")).mapInArrow(
+        _vectors(idf), "v binary, lang string, rank long"
+    )
     by: dict[str, list] = {}
     for r in sample.collect():
         by.setdefault(r["lang"], []).append((r["rank"], r["v"]))

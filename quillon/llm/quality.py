@@ -173,19 +173,19 @@ def train(
     """Fit on at most ``max_rows`` labelled ids, those least by a hash of the id.
 
     Rows with a null id or label are left out, as are ids whose labels differ
-    or which have no document.  None if fewer than two labels remain.
+    or which have no document; of a repeated id the least text counts.  None if fewer than two labels remain.
     """
-    rank = F.xxhash64(F.col("id").cast("string"))
+    rank = F.xxhash64(F.col("id").cast("string")).alias("rank")
     ids = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
-        .groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
-        .orderBy(rank, "id").limit(max_rows)
+        .groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most")
     )
+    ids = common.least_rows(ids.select("id", "label", rank, F.lit(0).alias("part")), max_rows).select("id", "label")
+    ids = common.saved(ids, common.scratch(docs.sparkSession), "ids")  # max_rows at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna()
-    rows = texts.join(F.broadcast(ids), "id").select("text", "label", rank.alias("rank")).mapInArrow(
-        _features, "at binary, freq binary, label int, rank long"
-    )
-    held = sorted(rows.collect(), key=lambda r: (r["rank"], r["label"], r["at"], r["freq"]))[:max_rows]
+    texts = texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    rows = texts.select("text", "label", rank).mapInArrow(_features, "at binary, freq binary, label int, rank long")
+    held = sorted(rows.collect(), key=lambda r: (r["rank"], r["label"], r["at"], r["freq"]))
     return fit([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["freq"], "<f4"), r["label"]) for r in held])
 
 

@@ -259,3 +259,25 @@ def test_html(spark):
         assert got[i].text == f"Head {i}\n\nFirst para & bold {i} line\n\n{tail}" and got[i].n_chars == len(got[i].text)  # the repeated line is template
     assert got[20].text == got[21].text == "" and got[22].text == "plain <text" and got[23].text == "cut off"
     assert html_template.extract(pages.limit(0)).count() == 0
+
+
+def test_least_rows(spark):
+    rows = [(p, i, r) for p in ("a", "b") for i, r in enumerate(np.random.default_rng(7).integers(-(2**63), 2**63 - 1, 500).tolist())]
+    rows += [("c", 1, 5), ("c", 2, 5), ("c", 3, 4)]
+    df = spark.createDataFrame(rows, "part string, id long, rank long")
+    for n in (1, 2, 40, 1000):
+        want = [x for p in "abc" for x in sorted((r for r in rows if r[0] == p), key=lambda r: (r[2], r[1]))[:n]]
+        assert sorted(map(tuple, common.least_rows(df, n).select("part", "id", "rank").collect())) == sorted(want)
+
+
+def test_training_repeats(spark):
+    """An id that very many rows repeat is one learning row."""
+    texts = [f"le chat {i} dort sur la table verte" if i % 2 else f"the cat {i} sleeps on the green table" for i in range(40)]
+    rows = [(i, t, "fr" if i % 2 else "en") for i, t in enumerate(texts)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = spark.createDataFrame(rows + [rows[3]] * 300, once.schema)
+    a, b = langid.train(once, fit_rows=10), langid.train(many, fit_rows=10)
+    assert a.langs == b.langs and a.centroids.shape == b.centroids.shape
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    x, y = quality.train(once, labels, max_rows=20), quality.train(many, labels, max_rows=20)
+    assert np.allclose(x.weights, y.weights) and x.shift == y.shift
