@@ -237,8 +237,7 @@ def similar(
     ``PIECE_WORDS`` words, eight of each text, instead of whole fingerprints.
     A piece that more than ``pair_limit`` distinct texts share is divided by
     the Golay indices near three segments of their fingerprints; a part still
-    too large links its texts to those next to them in each of four orders of
-    fingerprints and to the least equal one.  Equal texts are one node.
+    too large is compared in blocks of all its texts.  Equal texts are one node.
     """
     spark, folder = docs.sparkSession, common.scratch(docs.sparkSession)
     common.bounded_batches(spark)
@@ -258,7 +257,7 @@ def similar(
     sizes = common.saved(held.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), folder, "sizes")
 
     def pairs(df: DataFrame, keys: list[str]) -> DataFrame:
-        """A spanning forest of the near texts of each group; groups have ``pair_limit`` texts at most."""
+        """A spanning forest of the near texts of each group; groups have about twice ``pair_limit`` texts at most."""
         dealt = df.select(F.xxhash64(*keys).alias("group"), "node", *bits).repartition("group").sortWithinPartitions("group", "node")
         return dealt.mapInArrow(_forest(most), "a long, b long")
 
@@ -266,14 +265,13 @@ def similar(
     hot = held.join(sizes.where(F.col("n") > pair_limit).select("piece"), "piece")
     if not sizes.where(F.col("n") > pair_limit).isEmpty():
         parts = common.saved(hot.mapInArrow(_split_keys, "piece long, part int, node long, f0 long, f1 long, f2 long, f3 long"), folder, "parts")
-        large = parts.groupBy("piece", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > pair_limit).select("piece", "part")
-        large = common.saved(large, folder, "large")
+        counts = common.saved(parts.groupBy("piece", "part").agg(F.count(F.lit(1)).alias("n")), folder, "counts")
+        large = counts.where(F.col("n") > pair_limit)
         if large.isEmpty():
             found = found.unionAll(pairs(parts, ["piece", "part"]))
         else:
             found = found.unionAll(pairs(parts.join(large, ["piece", "part"], "left_anti"), ["piece", "part"]))
-            full = parts.join(large, ["piece", "part"], "left_semi")
-            found = found.unionAll(_neighbours(full.select("node", *bits).distinct(), most))
+            found = found.unionAll(pairs(_blocks(parts, large, ["piece", "part"], pair_limit), ["piece", "part", "block"]))
     roots = common.components(found.distinct(), folder)
     named = nodes.join(roots, "node", "left").select(*bits, "first", F.coalesce("root", "node").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("g"))
@@ -281,19 +279,17 @@ def similar(
     return prints.join(named, bits).select("id", "th", F.col("g.id").alias("first_id"), F.col("g.th").alias("first_th"))
 
 
-def _neighbours(full: DataFrame, most: int, reach: int = 32) -> DataFrame:
-    """Links of each text to the next ones in four sorted orders, for parts too large to pair.
+def _blocks(df: DataFrame, counted: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """``df`` of the keys in ``counted`` (keys, n), with a column ``block``: any two texts of a key share a block.
 
-    Ranges of fingerprints are sorted in parallel; a text is compared with the
-    ``reach`` before it, whatever the part's size.
+    A key's texts are dealt by hash to parts of about ``limit``; each two parts
+    are a block, so a text is repeated once for every other part.
     """
-    out = None
-    for lead in range(4):
-        order = [f"f{(lead + j) % 4}" for j in range(4)]
-        dealt = full.select("node", *order).repartitionByRange(*order).sortWithinPartitions(*order)
-        links = dealt.mapInArrow(_ahead(most, reach), "a long, b long")
-        out = links if out is None else out.unionAll(links)
-    return out
+    parts = F.ceil(F.col("n") / limit).cast("int")
+    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
+    others = F.filter(F.sequence(F.lit(0), parts - 1), lambda j: j != mine)
+    both = F.transform(others, lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
+    return df.join(counted, keys).select(*df.columns, F.explode(both).alias("block"))
 
 
 class Sets:
@@ -347,21 +343,3 @@ def _forest(most: int):
             yield links(*held)
 
     return run
-
-
-def _ahead(most: int, reach: int):
-    def run(batches):
-        sets = Sets()
-        node, f = np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
-        for b in batches:
-            old = len(node)
-            node = np.concatenate([node, b.column(0).to_numpy()])
-            f = np.concatenate([f, np.stack([b.column(i).to_numpy().view(np.uint64) for i in range(1, 5)], 1)])
-            for gap in range(1, min(reach, len(node) - 1) + 1):
-                i = np.arange(max(old - gap, 0), len(node) - gap)
-                i = i[i + gap >= old]
-                hit = i[np.bitwise_count(f[i] ^ f[i + gap]).sum(1) <= most]
-                yield _links([(x, y) for x, y in zip(node[hit].tolist(), node[hit + gap].tolist()) if sets.join(x, y)])
-            node, f = node[-reach:], f[-reach:]
-
-    return run

@@ -108,6 +108,18 @@ def test_similar(docs, empty, limit):
     assert simhash.similar(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1, 7, 30])
+def test_blocks(spark, limit):
+    """Any two texts of a large key meet in a block, and blocks stay small."""
+    df = spark.createDataFrame([(k, i * 7919 + 3) for k, n in ((1, 31), (2, 64)) for i in range(n)], "piece long, node long")
+    counted = df.groupBy("piece").count().withColumnRenamed("count", "n")
+    blocks = collections.defaultdict(set)
+    for r in simhash._blocks(df, counted, ["piece"], limit).collect():
+        blocks[r.piece, r.block].add(r.node)
+    met = {(k[0], *two) for k, b in blocks.items() for two in itertools.combinations(sorted(b), 2)}
+    assert len(met) == 31 * 30 // 2 + 64 * 63 // 2 and max(map(len, blocks.values())) <= 2 * limit + 40
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(200, 260)] + [(7, 7), (500, 501), (501, 500)]
     got = dict(map(tuple, common.components(spark.createDataFrame(pairs, "a long, b long"), common.scratch(spark)).collect()))
