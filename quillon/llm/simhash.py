@@ -175,8 +175,6 @@ def near_duplicates(
 
 #: Distinct pieces of a text, least by hash, under which similar texts meet; and words of a piece on average.
 PIECES, PIECE_WORDS = 8, 16
-#: Segments of the first 64 bits that divide the pieces that very many texts share.
-SPLITS = ((0, 23), (23, 23), (41, 23))
 
 
 def wide(text: str | None, shingle: int, words: int = 4) -> tuple[list[int], list[int]]:
@@ -213,19 +211,6 @@ def _wide(shingle: int):
     return run
 
 
-def _split_keys(batches):
-    """Divide a piece's texts by the codeword indices near three segments of their fingerprints."""
-    for b in batches:
-        f = b.column("f0").to_numpy().view(np.uint64)
-        rows, keys = [], []
-        for j, (at, width) in enumerate(SPLITS):
-            r, index = golay_indices(((f >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.uint32))
-            rows.append(r)
-            keys.append(index.astype(np.int32) + np.int32(j << 12))
-        take = pa.array(np.concatenate(rows))
-        yield pa.RecordBatch.from_arrays([b.column("piece").take(take), pa.array(np.concatenate(keys)), *(b.column(c).take(take) for c in ("node", "f0", "f1", "f2", "f3"))], ["piece", "part", "node", "f0", "f1", "f2", "f3"])
-
-
 def similar(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, pair_limit: int = PAIR_LIMIT
 ) -> DataFrame:
@@ -235,9 +220,9 @@ def similar(
     they share ``similarity`` of their shingles.  Two bits of 64 are far less
     than such texts differ in, so they meet under equal pieces of about
     ``PIECE_WORDS`` words, eight of each text, instead of whole fingerprints.
-    A piece that more than ``pair_limit`` distinct texts share is divided by
-    the Golay indices near three segments of their fingerprints; a part still
-    too large is compared in blocks of all its texts.  Equal texts are one node.
+    All texts of a piece are compared; if more than ``pair_limit`` distinct
+    ones share it, in blocks, which changes only the cost: it grows with the
+    square of their number.  Equal texts are one node.
     """
     spark, folder = docs.sparkSession, common.scratch(docs.sparkSession)
     common.bounded_batches(spark)
@@ -262,16 +247,9 @@ def similar(
         return dealt.mapInArrow(_forest(most), "a long, b long")
 
     found = pairs(held.join(sizes.where(F.col("n") <= pair_limit).select("piece"), "piece"), ["piece"])
-    hot = held.join(sizes.where(F.col("n") > pair_limit).select("piece"), "piece")
-    if not sizes.where(F.col("n") > pair_limit).isEmpty():
-        parts = common.saved(hot.mapInArrow(_split_keys, "piece long, part int, node long, f0 long, f1 long, f2 long, f3 long"), folder, "parts")
-        counts = common.saved(parts.groupBy("piece", "part").agg(F.count(F.lit(1)).alias("n")), folder, "counts")
-        large = counts.where(F.col("n") > pair_limit)
-        if large.isEmpty():
-            found = found.unionAll(pairs(parts, ["piece", "part"]))
-        else:
-            found = found.unionAll(pairs(parts.join(large, ["piece", "part"], "left_anti"), ["piece", "part"]))
-            found = found.unionAll(pairs(_blocks(parts, large, ["piece", "part"], pair_limit), ["piece", "part", "block"]))
+    hot = sizes.where(F.col("n") > pair_limit)
+    if not hot.isEmpty():
+        found = found.unionAll(pairs(_blocks(held, hot, ["piece"], pair_limit), ["piece", "block"]))
     roots = common.components(found.distinct(), folder)
     named = nodes.join(roots, "node", "left").select(*bits, "first", F.coalesce("root", "node").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("g"))

@@ -108,6 +108,19 @@ def test_similar(docs, empty, limit):
     assert simhash.similar(empty).count() == 0
 
 
+def test_similar_limit(spark):
+    """Whether a piece has more texts than the limit changes no group."""
+    rows = []
+    for i in range(150):
+        words = [f"w{i}x{j}" for j in range(300)]
+        rows.append((2 * i, " ".join(words)))
+        words[100:128] = [f"v{i}x{j}" for j in range(28)]
+        rows.append((2 * i + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r.id: r.first_id for r in simhash.similar(docs, pair_limit=limit).collect()} for limit in (1000, 1)]
+    assert got[0] == got[1] and sum(got[0][i] != i for i in range(300)) > 100
+
+
 @pytest.mark.parametrize("limit", [1, 7, 30])
 def test_blocks(spark, limit):
     """Any two texts of a large key meet in a block, and blocks stay small."""
