@@ -175,38 +175,63 @@ def near_duplicates(
 
 #: Distinct pieces of a text, least by hash, under which similar texts meet; and words of a piece on average.
 PIECES, PIECE_WORDS = 8, 16
+BITS = ["f0", "f1", "f2", "f3"]
+#: Texts are compared by their shingles if their fingerprints differ by at most so many standard deviations more than expected.
+DEVIATIONS = 6
 
 
-def wide(text: str | None, shingle: int, words: int = 4) -> tuple[list[int], list[int]]:
-    """(fingerprint of ``words`` x 64 bits, piece hashes) of a text's shingles."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return [0] * words, [0]
-    runs = map(b" ".join, zip(*(found[i:] for i in range(shingle)))) if len(found) >= shingle else iter([b" ".join(found)])
-    total, n, firsts = np.zeros(64 * words, np.int64), 0, []
-    while block := list(itertools.islice(runs, 255 * 64)):
-        h = np.empty((len(block), words), np.uint64)
-        for j in range(0, words, 2):
-            two = b"".join([xxhash.xxh3_128_digest(x, j) for x in block])
-            h[:, j : j + 2] = np.frombuffer(two, np.uint64).reshape(-1, 2)[:, : words - j]
-        n += len(block)
-        firsts.append(h[:, 0].copy())
-        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
-        for i in range(0, len(bits), 255):
-            total += np.add.reduce(bits[i : i + 255], axis=0).view(np.uint8)
-    h = np.concatenate(firsts)
+def _digests(words: list[bytes], at, shingle: int, seed: int) -> np.ndarray:
+    """Two 64-bit hashes of the shingles that begin at the given words."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(b" ".join(words[i : i + shingle]), seed) for i in at]), np.uint64).reshape(-1, 2)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles of a text."""
+    words = _words(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    return np.unique(_digests(words, range(max(1, len(words) - shingle + 1)), shingle, 0)[:, 0])
+
+
+def wide(text: str | None, shingle: int) -> tuple[list[int], int, list[int]]:
+    """(256-bit fingerprint of a text's distinct shingles, hash of their set, piece hashes)."""
+    words = _words(text)
+    if not words:
+        return [0] * 4, 0, [0]
+    h = _digests(words, range(max(1, len(words) - shingle + 1)), shingle, 0)
+    held, first = np.unique(h[:, 0], return_index=True)
+    own = np.hstack([h[first], _digests(words, first.tolist(), shingle, 2)])
+    total = np.zeros(256, np.int64)
+    for i in range(0, len(own), 255):  # byte lanes can't overflow below 256 rows
+        bits = np.unpackbits(own[i : i + 255].view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        total += np.add.reduce(bits, axis=0).view(np.uint8)
+    h = h[:, 0]
     cuts = np.concatenate([[0], np.flatnonzero(h[:-1] % np.uint64(PIECE_WORDS) == 0) + 1])
     pieces = np.unique(np.add.reduceat(h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(31)), cuts))
-    return np.packbits(total * 2 > n, bitorder="little").view(np.uint64).tolist(), pieces[:PIECES].tolist()
+    prints = np.packbits(total * 2 > len(own), bitorder="little").view(np.uint64)
+    return prints.tolist(), xxhash.xxh3_64_intdigest(held.tobytes()), pieces[:PIECES].tolist()
 
 
 def _wide(shingle: int):
     def run(batches):
         for b in batches:
             rows = [wide(t, shingle) for t in b.column(2).to_pylist()]
-            f = np.array([r[0] for r in rows], np.uint64).reshape(-1, 4).view(np.int64)
-            p = pa.array([np.array(r[1], np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(f[:, i].copy()) for i in range(4)), p], ["id", "th", "f0", "f1", "f2", "f3", "pieces"])
+            f = np.array([[*r[0], r[1]] for r in rows], np.uint64).reshape(-1, 5).view(np.int64)
+            p = pa.array([np.array(r[2], np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(f[:, i].copy()) for i in range(5)), p], ["id", "th", *BITS, "held", "pieces"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return run
 
@@ -216,45 +241,53 @@ def similar(
 ) -> DataFrame:
     """(id, th, first_id, first_th): each row, by id and text hash, and the least row of its group.
 
-    Texts are linked if their 256-bit SimHashes of ``shingle`` words say that
-    they share ``similarity`` of their shingles.  Two bits of 64 are far less
+    Texts are linked if they share ``similarity`` of their distinct shingles of
+    ``shingle`` words (Jaccard, counted exactly).  Two bits of 64 are far less
     than such texts differ in, so they meet under equal pieces of about
-    ``PIECE_WORDS`` words, eight of each text, instead of whole fingerprints.
+    ``PIECE_WORDS`` words, eight of each text, instead of whole fingerprints;
+    256-bit SimHashes only spare the count for texts far apart.
     All texts of a piece are compared; if more than ``pair_limit`` distinct
     ones share it, in blocks, which changes only the cost: it grows with the
-    square of their number.  Equal texts are one node.
+    square of their number.  Texts of equal shingles are one node.
     """
     spark, folder = docs.sparkSession, common.scratch(docs.sparkSession)
     common.bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
-    prints = common.saved(rows.mapInArrow(_wide(shingle), f"id {kind}, th long, f0 long, f1 long, f2 long, f3 long, pieces array<long>"), folder, "wide")
-    bits = ["f0", "f1", "f2", "f3"]
-    node = F.xxhash64(*bits).alias("node")
+    prints = common.saved(rows.mapInArrow(_wide(shingle), f"id {kind}, th long, f0 long, f1 long, f2 long, f3 long, held long, pieces array<long>"), folder, "wide")
+    same = [*BITS, "held"]
+    node = F.xxhash64(*same).alias("node")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first")
-    nodes = common.saved(prints.groupBy(*bits).agg(least, F.first("pieces").alias("pieces")).select(node, *bits, "first", "pieces"), folder, "nodes")
+    nodes = common.saved(prints.groupBy(*same).agg(least, F.first("pieces").alias("pieces")).select(node, *same, "first", "pieces"), folder, "nodes")
     # expected share of differing bits: the angle between the shingle sets
     cosine = 2 * similarity / (1 + similarity)
     share = np.arccos(cosine) / np.pi
-    most = int(256 * share + 1.7 * np.sqrt(256 * share * (1 - share)))
-    held = common.saved(nodes.select(F.explode("pieces").alias("piece"), "node", *bits), folder, "pieces")
-    sizes = common.saved(held.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), folder, "sizes")
+    most = int(256 * share + DEVIATIONS * np.sqrt(256 * share * (1 - share)))
+    held = common.saved(nodes.select(F.explode("pieces").alias("piece"), "node", *BITS), folder, "pieces")
+    sizes = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(node)").alias("x"), F.expr("bit_xor(xxhash64(node))").alias("y"))
+    # of pieces that the same texts share, one is enough
+    sizes = common.saved(sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("piece").alias("piece")).select("piece", "n"), folder, "sizes")
+    held = common.saved(held.join(sizes.select("piece"), "piece"), folder, "shared")
+    # only texts that share a piece need their shingles; one text speaks for a node
+    wanted = nodes.join(held.select("node").distinct(), "node", "left_semi").select("node", F.col("first.id").alias("wid"), F.col("first.th").alias("wth"))
+    spoken = rows.join(wanted, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid"))).select("node", "text")
+    sets = common.saved(spoken.mapInArrow(_sets(shingle), "node long, shingles binary").dropDuplicates(["node"]), folder, "sets")
 
     def pairs(df: DataFrame, keys: list[str]) -> DataFrame:
-        """A spanning forest of the near texts of each group; groups have about twice ``pair_limit`` texts at most."""
-        dealt = df.select(F.xxhash64(*keys).alias("group"), "node", *bits).repartition("group").sortWithinPartitions("group", "node")
-        return dealt.mapInArrow(_forest(most), "a long, b long")
+        """A spanning forest of the similar texts of each group; groups have about twice ``pair_limit`` texts at most."""
+        dealt = df.select(F.xxhash64(*keys).alias("group"), "node", *BITS).join(sets, "node").select("group", "node", *BITS, "shingles")
+        return dealt.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_forest(most, similarity), "a long, b long")
 
     found = pairs(held.join(sizes.where(F.col("n") <= pair_limit).select("piece"), "piece"), ["piece"])
     hot = sizes.where(F.col("n") > pair_limit)
     if not hot.isEmpty():
         found = found.unionAll(pairs(_blocks(held, hot, ["piece"], pair_limit), ["piece", "block"]))
     roots = common.components(found.distinct(), folder)
-    named = nodes.join(roots, "node", "left").select(*bits, "first", F.coalesce("root", "node").alias("root"))
+    named = nodes.join(roots, "node", "left").select(*same, "first", F.coalesce("root", "node").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("g"))
-    named = named.join(firsts, "root").select(*bits, "g")
-    return prints.join(named, bits).select("id", "th", F.col("g.id").alias("first_id"), F.col("g.th").alias("first_th"))
+    named = named.join(firsts, "root").select(*same, "g")
+    return prints.join(named, same).select("id", "th", F.col("g.id").alias("first_id"), F.col("g.th").alias("first_th"))
 
 
 def _blocks(df: DataFrame, counted: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -270,38 +303,35 @@ def _blocks(df: DataFrame, counted: DataFrame, keys: list[str], limit: int) -> D
     return df.join(counted, keys).select(*df.columns, F.explode(both).alias("block"))
 
 
-class Sets:
-    """Disjoint sets of nodes; ``join`` says whether two nodes were apart."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = x = self.up.get(y, y)
-        return x
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
 
+def alike(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets, neither empty."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared / (len(both) - shared)
 
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
+def _forest(most: int, similarity: float):
+    """Compare the texts of each whole group and keep the links that join two parts of it.
 
-def _forest(most: int):
-    """Compare the texts of each whole group and keep the links that join two parts of it."""
+    Texts within ``most`` bits, not joined yet, are compared by their shingles.
+    """
 
-    def links(group: np.ndarray, node: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    def links(group: np.ndarray, node: np.ndarray, f: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
         out, gap, at = [], 1, np.arange(len(group) - 1)
-        sets: dict[int, Sets] = {}
+        part, size = np.arange(len(group)), np.array([len(s) for s in sets])
         while len(at := at[at + gap < len(group)]) and len(at := at[group[at] == group[at + gap]]):
-            hit = at[np.bitwise_count(f[at] ^ f[at + gap]).sum(1) <= most]
-            for g, x, y in zip(group[hit].tolist(), node[hit].tolist(), node[hit + gap].tolist()):
-                if sets.setdefault(g, Sets()).join(x, y):
-                    out.append((x, y))
+            hit = at[part[at] != part[at + gap]]
+            hit = hit[np.minimum(size[hit], size[hit + gap]) >= similarity * np.maximum(size[hit], size[hit + gap])]
+            hit = hit[np.bitwise_count(f[hit] ^ f[hit + gap]).sum(1) <= most]
+            for i in hit.tolist():
+                if part[i] != part[i + gap] and alike(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[i + gap], np.uint64)) >= similarity:
+                    out.append((int(node[i]), int(node[i + gap])))
+                    part[part == part[i + gap]] = part[i]
             gap += 1
         return _links(out)
 
@@ -309,7 +339,9 @@ def _forest(most: int):
         held = None
         for b in batches:
             cols = [b.column(i).to_numpy() for i in range(6)]
-            now = (cols[0], cols[1], np.stack(cols[2:], 1).view(np.uint64))
+            sets = np.empty(b.num_rows, object)
+            sets[:] = b.column(6).to_pylist()
+            now = (cols[0], cols[1], np.stack(cols[2:], 1).view(np.uint64), sets)
             held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
             if not len(held[0]):
                 continue

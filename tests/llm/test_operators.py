@@ -121,6 +121,30 @@ def test_similar_limit(spark):
     assert got[0] == got[1] and sum(got[0][i] != i for i in range(300)) > 100
 
 
+def test_similar_exact(spark):
+    """Groups are those of exact shingle similarities of 0.8, on both sides of it and for repeated lines."""
+    rows = []
+    for i in range(120):
+        words = [f"w{i}x{j}" for j in range(300)]
+        rows.append((2 * i, " ".join(words)))
+        n = 20 + i % 24
+        words[100 : 100 + n] = [f"v{i}x{j}" for j in range(n)]
+        rows.append((2 * i + 1, " ".join(words)))
+    line = "one line of nine words that comes very often "
+    rows += [(500, line * 300), (501, line * 300 + " ".join(f"u{j}" for j in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+
+    first = {r.id: r.first_id for r in simhash.similar(docs).collect()}
+    for (i, x), (j, y) in zip(rows[::2], rows[1::2]):
+        x, y = shingles(x), shingles(y)
+        assert (first[j] == i) == (len(x & y) / len(x | y) >= 0.8)
+    assert {first[j] == i for (i, _), (j, _) in zip(rows[:240:2], rows[1:240:2])} == {True, False} and first[501] == 501
+
+
 @pytest.mark.parametrize("limit", [1, 7, 30])
 def test_blocks(spark, limit):
     """Any two texts of a large key meet in a block, and blocks stay small."""

@@ -35,6 +35,15 @@ def test_stages(spark, sf):
     assert last.count() == fourth.count() and last.where("4 * n_tokens <> length(ids)").isEmpty()
 
 
+def test_dropped_are_similar(spark, sf):
+    """What the near-duplicates stage drops shares 0.8 of its shingles with another text."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
+    kept = {r.doc_id for r in pipeline.near_duplicates(spark, docs, sf).collect()}
+    texts = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    for i in set(texts) - kept:
+        assert max(len(texts[i] & o) / len(texts[i] | o) for j, o in texts.items() if j != i) >= 0.8
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
