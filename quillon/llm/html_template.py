@@ -171,14 +171,16 @@ def tokens(page: str | None) -> dict[int, list[int]]:
 def main_text(page: str | None, template: set[int] | None = None) -> str:
     """The blocks of the innermost main zone that has any, less those that are template tokens.
 
-    If all of them are, they stay: a template cannot be a page's whole article.
+    If they hold half of the zone's characters, they all stay: a template frames
+    an article, and what makes up most of one is text that near copies share.
     """
     found, _ = blocks(page)
     for zone in (3, 2, 1):
         here = [(p, t) for p, t, z in found if z >= zone]
         if here:
-            left = [t for p, t in here if _token("t", p, t) not in template] if template else []
-            return "\n\n".join(left or [t for _, t in here])
+            whole = [t for _, t in here]
+            left = [t for p, t in here if _token("t", p, t) not in template] if template else whole
+            return "\n\n".join(left if 2 * sum(map(len, left)) > sum(map(len, whole)) else whole)
     return ""
 
 

@@ -310,6 +310,16 @@ def test_html(spark):
     assert html_template.extract(pages.limit(0)).count() == 0
 
 
+def test_html_near_copies(spark):
+    """Near copies of one article on most pages of a host keep the paragraphs that they share."""
+    shared = [f"Paragraph {k} of an article that the host has published several times" for k in range(6)]
+    texts = {i: [*shared[:3], f"Changed paragraph {i}", *shared[3:]] for i in range(4)} | {i: [f"Other text {i}"] for i in (4, 5)}
+    html = "<html><body><nav>Menu</nav><article>{}</article></body></html>"
+    rows = [(i, f"http://n.org/{i}", html.format("".join(f"<p>{p}</p>" for p in t))) for i, t in texts.items()]
+    got = {r.id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n\n".join(t) for i, t in texts.items()}
+
+
 def test_least_rows(spark):
     rows = [(p, i, r) for p in ("a", "b") for i, r in enumerate(np.random.default_rng(7).integers(-(2**63), 2**63 - 1, 500).tolist())]
     rows += [("c", 1, 5), ("c", 2, 5), ("c", 3, 4)]
