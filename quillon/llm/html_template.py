@@ -3,10 +3,10 @@
 Pages of a host come from few templates.  Every start tag (with its path) and
 every text block (with its path and words) is a token; its occurrence vector
 holds how often it occurs on each page of the host.  Tokens with equal vectors
-form an equivalence class.  Classes that are large, frequent and occur in one
-order are valid; nested into each other they make the host's template.  What a
-page has between template tokens are its slots, and the text blocks of the
-slots inside the article are its main text.
+form an equivalence class.  The tokens of a host's large, frequent classes of
+one order are its template, a plain set: classes are not nested.  Element roles
+and class words choose a page's main zone; its text blocks, less template
+blocks, are the main text.
 
 Vectors are never built: each (page, count) pair is hashed and the hashes are
 combined with exclusive or, so the vectors of a host with any number of pages
@@ -199,7 +199,7 @@ def _rows(batches):
 
 
 def templates(pages: DataFrame, folder: str) -> DataFrame:
-    """(host, template): the tokens of each host's valid classes, nested into one template.
+    """(host, template): the tokens of each host's valid classes, as one set.
 
     A class is valid if it is large and frequent (the constants above), is not
     made by copies of one page alone, and its tokens stand in one order: their
