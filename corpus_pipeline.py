@@ -28,11 +28,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the least document (by id, then text hash) of each group of similar ones; of equal rows, one."""
-    named = simhash.similar(docs)
-    first = named.where("id <=> first_id AND th = first_th").select(F.col("id").alias("kid"), F.col("th").alias("kth")).distinct()
-    met = _keyed(docs).join(first, F.col("id").eqNullSafe(F.col("kid")) & (F.col("th") == F.col("kth")), "left_semi")
-    return met.dropDuplicates(["id", "th"]).select("doc.*")
+    """Keep the least document (by id, null last, then text hash) of each group of similar ones; of rows with one id and text, one.
+
+    Null and wordless texts are one group; of an empty table nothing is kept.
+    """
+    named = simhash.similar(docs).groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"), F.first(F.expr("id <=> first_id AND th = first_th")).alias("kept"))
+    named = common.saved(named, common.scratch(spark), "named")
+    gone = common.small(named.where("NOT kept").select(F.col("id").alias("gid"), F.col("th").alias("gth")), 64)
+    left = _keyed(docs).join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left_anti")
+    # only rows that repeat are shuffled to find their copies
+    twice = common.small(named.where("kept AND n > 1").select(F.col("id").alias("rid"), F.col("th").alias("rth")), 64)
+    same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))
+    return left.join(twice, same, "left_anti").unionAll(left.join(twice, same, "left_semi").dropDuplicates(["id", "th"])).select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,13 @@ def bucketed(df: DataFrame, folder: str, name: str, key: str, buckets: int) -> D
     return out
 
 
+def finished(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """:func:`saved` in a folder of its own, after which the scratch tables of ``folder`` go."""
+    out = saved(df, scratch(df.sparkSession), name)
+    removed(df.sparkSession, folder)
+    return out
+
+
 def removed(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -18,7 +18,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
 
@@ -170,59 +170,71 @@ def near_duplicates(
     )
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     named = named.join(least, "root").select("fp", "component")
-    return prints.join(named, "fp").select("id", "fp", "component")
+    return common.finished(prints.join(named, "fp").select("id", "fp", "component"), folder, "components")
 
 
-#: Distinct pieces of a text, least by hash, under which similar texts meet; and words of a piece on average.
-PIECES, PIECE_WORDS = 8, 16
+#: Band keys of a text; each is a hash of the least values of ROWS hash functions over its shingles.  Two texts of
+#: similarity 0.8 share none with a probability of (1 - 0.8^4)^32, below one in ten million.
+BANDS, ROWS = 32, 4
 BITS = ["f0", "f1", "f2", "f3"]
 #: Texts are compared by their shingles if their fingerprints differ by at most so many standard deviations more than expected.
 DEVIATIONS = 6
+#: Bytes of shingles and texts in one part of a block of texts to compare.
+PART_BYTES, PART_ROWS = 8 << 20, 2048
 
 
-def _digests(words: list[bytes], at, shingle: int, seed: int) -> np.ndarray:
-    """Two 64-bit hashes of the shingles that begin at the given words."""
-    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(b" ".join(words[i : i + shingle]), seed) for i in at]), np.uint64).reshape(-1, 2)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+_FUNCTIONS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_BANDS, _ROWS = _mix(_FUNCTIONS[:BANDS]), _mix(_FUNCTIONS[-ROWS:]) | np.uint64(1)
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct word shingles of a text."""
-    words = _words(text)
+    """Sorted 64-bit hashes of the distinct word shingles of a text; of fewer words, of all of them."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(_digests(words, range(max(1, len(words) - shingle + 1)), shingle, 0)[:, 0])
+    runs = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, map(b" ".join, runs)), np.uint64))
 
 
-def wide(text: str | None, shingle: int) -> tuple[list[int], int, list[int]]:
-    """(256-bit fingerprint of a text's distinct shingles, hash of their set, piece hashes)."""
-    words = _words(text)
-    if not words:
-        return [0] * 4, 0, [0]
-    h = _digests(words, range(max(1, len(words) - shingle + 1)), shingle, 0)
-    held, first = np.unique(h[:, 0], return_index=True)
-    own = np.hstack([h[first], _digests(words, first.tolist(), shingle, 2)])
+def band_keys(held: np.ndarray) -> np.ndarray:
+    """The band keys of a shingle set."""
+    if not len(held):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(held), 1024):
+        np.minimum(least, (held[i : i + 1024, None] * _FUNCTIONS).min(0), out=least)
+    return _mix((least.reshape(BANDS, ROWS) * _ROWS).sum(1) + _BANDS).view(np.int64)
+
+
+def wide(held: np.ndarray) -> np.ndarray:
+    """256-bit SimHash of a shingle set, as four words; zero for none."""
+    if not len(held):
+        return np.zeros(4, np.uint64)
+    own = _mix(held[:, None] + _FUNCTIONS[:4])
     total = np.zeros(256, np.int64)
     for i in range(0, len(own), 255):  # byte lanes can't overflow below 256 rows
         bits = np.unpackbits(own[i : i + 255].view(np.uint8), axis=1, bitorder="little").view(np.uint64)
         total += np.add.reduce(bits, axis=0).view(np.uint8)
-    h = h[:, 0]
-    cuts = np.concatenate([[0], np.flatnonzero(h[:-1] % np.uint64(PIECE_WORDS) == 0) + 1])
-    pieces = np.unique(np.add.reduceat(h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(31)), cuts))
-    prints = np.packbits(total * 2 > len(own), bitorder="little").view(np.uint64)
-    return prints.tolist(), xxhash.xxh3_64_intdigest(held.tobytes()), pieces[:PIECES].tolist()
+    return np.packbits(total * 2 > len(own), bitorder="little").view(np.uint64)
 
 
 def _wide(shingle: int):
     def run(batches):
         for b in batches:
-            rows = [wide(t, shingle) for t in b.column(2).to_pylist()]
-            f = np.array([[*r[0], r[1]] for r in rows], np.uint64).reshape(-1, 5).view(np.int64)
-            p = pa.array([np.array(r[2], np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(f[:, i].copy()) for i in range(5)), p], ["id", "th", *BITS, "held", "pieces"])
+            sets = [shingle_set(t, shingle) for t in b.column(2).to_pylist()]
+            prints = np.array([wide(x) for x in sets], np.uint64).reshape(-1, 4).view(np.int64)
+            held = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            keys = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *(pa.array(prints[:, i].copy()) for i in range(4)), pa.array(held), sizes, keys], ["id", "th", *BITS, "held", "size", "keys"]
+            )
 
     return run
 
@@ -230,77 +242,171 @@ def _wide(shingle: int):
 def _sets(shingle: int):
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+            sets = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     return run
 
 
 def similar(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, pair_limit: int = PAIR_LIMIT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, pair_limit: int = PAIR_LIMIT,
+    part_bytes: int = PART_BYTES, part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """(id, th, first_id, first_th): each row, by id and text hash, and the least row of its group.
 
     Texts are linked if they share ``similarity`` of their distinct shingles of
-    ``shingle`` words (Jaccard, counted exactly).  Two bits of 64 are far less
-    than such texts differ in, so they meet under equal pieces of about
-    ``PIECE_WORDS`` words, eight of each text, instead of whole fingerprints;
-    256-bit SimHashes only spare the count for texts far apart.
-    All texts of a piece are compared; if more than ``pair_limit`` distinct
-    ones share it, in blocks, which changes only the cost: it grows with the
-    square of their number.  Texts of equal shingles are one node.
+    ``shingle`` words (Jaccard, counted exactly); groups are what links
+    connect.  Texts of equal shingles are one node.  Nodes meet under the Golay
+    keys of their 64-bit fingerprints (two bits), and, since texts of similarity
+    0.8 differ in about ten bits, under band keys too.  Then
+
+    * every node is compared with one node of each of its keys, which joins
+      most of a large group at a cost linear in it;
+    * what the same key holds in different groups and within a bound of
+      fingerprint bits is gathered into zones, and all texts of a zone that are
+      not joined are compared, in blocks.  ``part_bytes`` and ``part_rows``
+      bound a block and change only the cost.
+
+    Null ids come last in a group; null and wordless texts are one node;
+    repeated rows are copies; an empty table gives none.
     """
     spark, folder = docs.sparkSession, common.scratch(docs.sparkSession)
     common.bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
-    prints = common.saved(rows.mapInArrow(_wide(shingle), f"id {kind}, th long, f0 long, f1 long, f2 long, f3 long, held long, pieces array<long>"), folder, "wide")
-    same = [*BITS, "held"]
-    node = F.xxhash64(*same).alias("node")
+    made = rows.mapInArrow(_wide(shingle), f"id {kind}, th long, f0 long, f1 long, f2 long, f3 long, held long, size int, keys array<long>")
+    prints = common.saved(made.withColumn("node", F.xxhash64(*BITS, "held")), folder, "wide")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first")
-    nodes = common.saved(prints.groupBy(*same).agg(least, F.first("pieces").alias("pieces")).select(node, *same, "first", "pieces"), folder, "nodes")
-    # expected share of differing bits: the angle between the shingle sets
+    nodes = common.saved(prints.groupBy("node").agg(least, *(F.first(c).alias(c) for c in (*BITS, "size", "keys"))), folder, "nodes")
+    held = nodes.select(F.explode("keys").alias("key"), "node")
+    sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    shared = common.saved(held.join(sizes, "key"), folder, "shared")
+    short = nodes.select("node", "size", *BITS)
     cosine = 2 * similarity / (1 + similarity)
-    share = np.arccos(cosine) / np.pi
+    share = np.arccos(cosine) / np.pi  # expected share of differing bits: the angle between the shingle sets
     most = int(256 * share + DEVIATIONS * np.sqrt(256 * share * (1 - share)))
-    held = common.saved(nodes.select(F.explode("pieces").alias("piece"), "node", *BITS), folder, "pieces")
-    sizes = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(node)").alias("x"), F.expr("bit_xor(xxhash64(node))").alias("y"))
-    # of pieces that the same texts share, one is enough
-    sizes = common.saved(sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("piece").alias("piece")).select("piece", "n"), folder, "sizes")
-    held = common.saved(held.join(sizes.select("piece"), "piece"), folder, "shared")
-    # only texts that share a piece need their shingles; one text speaks for a node
-    wanted = nodes.join(held.select("node").distinct(), "node", "left_semi").select("node", F.col("first.id").alias("wid"), F.col("first.th").alias("wth"))
-    spoken = rows.join(wanted, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid"))).select("node", "text")
-    sets = common.saved(spoken.mapInArrow(_sets(shingle), "node long, shingles binary").dropDuplicates(["node"]), folder, "sets")
-
-    def pairs(df: DataFrame, keys: list[str]) -> DataFrame:
-        """A spanning forest of the similar texts of each group; groups have about twice ``pair_limit`` texts at most."""
-        dealt = df.select(F.xxhash64(*keys).alias("group"), "node", *BITS).join(sets, "node").select("group", "node", *BITS, "shingles")
-        return dealt.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_forest(most, similarity), "a long, b long")
-
-    found = pairs(held.join(sizes.where(F.col("n") <= pair_limit).select("piece"), "piece"), ["piece"])
-    hot = sizes.where(F.col("n") > pair_limit)
-    if not hot.isEmpty():
-        found = found.unionAll(pairs(_blocks(held, hot, ["piece"], pair_limit), ["piece", "block"]))
-    roots = common.components(found.distinct(), folder)
-    named = nodes.join(roots, "node", "left").select(*same, "first", F.coalesce("root", "node").alias("root"))
-    firsts = named.groupBy("root").agg(F.min("first").alias("g"))
-    named = named.join(firsts, "root").select(*same, "g")
-    return prints.join(named, same).select("id", "th", F.col("g.id").alias("first_id"), F.col("g.th").alias("first_th"))
-
-
-def _blocks(df: DataFrame, counted: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """``df`` of the keys in ``counted`` (keys, n), with a column ``block``: any two texts of a key share a block.
 
-    A key's texts are dealt by hash to parts of about ``limit``; each two parts
-    are a block, so a text is repeated once for every other part.
+    def shingles_of(wanted: DataFrame, name: str) -> DataFrame:
+        """(node, shingles) of wanted nodes; one row speaks for a node."""
+        spoken = nodes.join(wanted, "node", "left_semi").select("node", F.col("first.id").alias("wid"), F.col("first.th").alias("wth"))
+        spoken = common.small(common.saved(spoken, folder, f"{name}-rows"), 100)
+        met = rows.join(spoken, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid"))).select("node", "text")
+        return common.saved(met.mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"]), folder, name)
+
+    stars = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    pairs = stars.unionAll(_golay_pairs(short, folder, pair_limit)).distinct()
+    pairs = pairs.join(_named(short, "a"), "a").join(_named(short, "b"), "b").where(_within(most, similarity))
+    pairs = common.saved(pairs.select("a", "b"), folder, "pairs")
+    sets = shingles_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "sets")
+    linked = common.saved(_verified(pairs, sets, similarity), folder, "linked")
+    roots = common.saved(common.components(linked, f"{folder}/stars"), folder, "roots")
+    rooted = common.saved(
+        nodes.join(roots, "node", "left").select("node", "size", *BITS, F.coalesce("root", "node").alias("root")), folder, "rooted"
+    )
+    zones = _zones(shared, rooted, folder, most, similarity, part_rows)
+    if zones is not None:
+        sets = shingles_of(zones.select("node"), "zone-sets")
+        more = _zone_links(zones.join(sets, "node"), folder, most, similarity, part_bytes, part_rows)
+        both = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
+        roots = common.components(both, f"{folder}/all")
+    named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    firsts = named.groupBy("root").agg(F.min("first").alias("g"))
+    named = named.join(firsts, "root").select("node", "g")
+    out = prints.join(named, "node").select("id", "th", F.col("g.id").alias("first_id"), F.col("g.th").alias("first_th"))
+    return common.finished(out, folder, "similar")
+
+
+def _named(short: DataFrame, side: str) -> DataFrame:
+    return short.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("size", *BITS)))
+
+
+def _within(most: int, similarity: float) -> Column:
+    """Whether the sizes and 256-bit fingerprints of ``a`` and ``b`` leave room for the similarity."""
+    bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in BITS), F.lit(0))
+    return (bits <= most) & (F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size"))
+
+
+def _golay_pairs(short: DataFrame, folder: str, pair_limit: int) -> DataFrame:
+    """(a, b): nodes of equal fingerprints, and one node each of fingerprints that Golay keys link."""
+    by = short.groupBy(F.col("f0").alias("fp")).agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
+    by = common.saved(by, folder, "fingerprints")
+    equal = short.join(by.where("n > 1"), F.col("f0") == F.col("fp")).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = links(by.select("fp"), f"{folder}/golay", 2, pair_limit)
+    for side in ("a", "b"):
+        near = near.join(by.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_node")), side)
+    return equal.unionAll(near.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are similar."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")), side)
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.where(both / (F.size("a_set") + F.size("b_set") - both) >= similarity).select("a", "b")
+
+
+def _zones(shared: DataFrame, rooted: DataFrame, folder: str, most: int, similarity: float, part_rows: int) -> DataFrame | None:
+    """(zone, root, node, size, bits) of all groups between which pairs of texts may be left to link; None if none is."""
+    open_ = shared.where("n > 2").select("key", "node").join(rooted.select("node", "root"), "node")
+    kinds = open_.groupBy("key").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(node)").alias("x"),
+        F.expr("bit_xor(xxhash64(node))").alias("y"),
+    ).where("lo <> hi")
+    # of keys that the same texts share, one is enough
+    kinds = common.saved(kinds.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), folder, "open-keys")
+    if kinds.isEmpty():
+        return None
+    near = common.saved(shared.select("key", "node").join(kinds, "key").join(rooted, "node"), folder, "open")
+    few = near.where(F.col("n") <= 2 * part_rows).select(F.xxhash64("key").alias("block"), "root", "node", "size", *BITS)
+    many = _blocks(near.where(F.col("n") > 2 * part_rows), part_rows).select(F.xxhash64("key", "block").alias("block"), "root", "node", "size", *BITS)
+    dealt = few.unionAll(many).repartition("block").sortWithinPartitions("block", "root", "node")
+    met = common.saved(dealt.mapInArrow(_forest(most, similarity), "a long, b long").distinct(), folder, "met")
+    zones = common.components(met, f"{folder}/zones").select(F.col("node").alias("root"), F.col("root").alias("zone"))
+    return common.saved(rooted.join(zones, "root").select("zone", "root", "node", "size", *BITS), folder, "zoned")
+
+
+def _blocks(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` (key, node, n) with a column ``block``: any two nodes of a key share a block.
+
+    A key's nodes are dealt by hash to parts of about ``limit``; each two parts
+    are a block, so a node is repeated once for every other part.
     """
     parts = F.ceil(F.col("n") / limit).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
     others = F.filter(F.sequence(F.lit(0), parts - 1), lambda j: j != mine)
     both = F.transform(others, lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
-    return df.join(counted, keys).select(*df.columns, F.explode(both).alias("block"))
+    return df.select(*df.columns, F.explode(both).alias("block"))
+
+
+def _zone_links(zoned: DataFrame, folder: str, most: int, similarity: float, part_bytes: int, part_rows: int) -> DataFrame:
+    """(a, b): links that join the groups of each zone.
+
+    A zone's largest group is cut into parts, and so is the rest.  Blocks hold
+    a part of the group and a part of the rest, or two parts of the rest, so a
+    large group is sent once for each part of what is not in it.
+    """
+    weights = zoned.groupBy("zone", "root").agg(F.sum(F.col("size").cast("long") * 8).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    parts_of = lambda b, r: F.greatest(F.ceil(b / part_bytes), F.ceil(r / part_rows), F.lit(1)).cast("int")
+    shape = weights.groupBy("zone").agg(F.max(F.struct("rows", "bytes", "root")).alias("top"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    shape = shape.select(
+        "zone", F.col("top.root").alias("top"), ((F.col("bytes") <= part_bytes) & (F.col("rows") <= part_rows)).alias("one"),
+        parts_of(F.col("top.bytes"), F.col("top.rows")).alias("p"), parts_of(F.col("bytes") - F.col("top.bytes"), F.col("rows") - F.col("top.rows")).alias("q"),
+    )
+    met = zoned.join(shape, "zone").withColumn("main", F.col("root") == F.col("top"))
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    block = lambda k, i, j: F.struct(F.lit(k).alias("kind"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    p, q = at(F.col("p")), at(F.col("q"))
+    rest = F.concat(
+        F.transform(upto("p"), lambda i: block(0, i, q)), F.transform(upto("q"), lambda j: block(1, F.least(j, q), F.greatest(j, q)))
+    )
+    where = F.when(F.col("one"), F.array(block(1, F.lit(0), F.lit(0)))).when(F.col("main"), F.transform(upto("q"), lambda j: block(0, p, j))).otherwise(rest)
+    dealt = met.select(F.explode(where).alias("at"), "zone", "main", "root", "node", "size", *BITS, "shingles").select(
+        F.xxhash64("zone", "at").alias("block"), (F.col("at.kind") == 0).alias("cross"), "main", "root", "node", "size", *BITS, "shingles"
+    )
+    found = dealt.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_nearest_first(most, similarity), "a long, b long")
+    return common.saved(found, folder, "zone-links")
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -308,48 +414,101 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets, neither empty."""
+    """Jaccard similarity of two sets without repeats, neither empty."""
     both = np.concatenate([x, y])
     both.sort(kind="stable")
     shared = int(np.count_nonzero(both[1:] == both[:-1]))
     return shared / (len(both) - shared)
 
 
+def _groups(batches):
+    """Whole groups of rows with one value in the first column; each a table of a few batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        while b.num_rows:
+            first = b.column(0).to_numpy()
+            if held and held[0].column(0)[0].as_py() != first[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            n = int(np.searchsorted(first, first[0], "right"))
+            held.append(b.slice(0, n))
+            b = b.slice(n)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _forest(most: int, similarity: float):
-    """Compare the texts of each whole group and keep the links that join two parts of it.
+    """Pairs of roots, one forest a group, between which a pair of nodes is within ``most`` bits."""
 
-    Texts within ``most`` bits, not joined yet, are compared by their shingles.
-    """
+    def run(batches):
+        out: list[tuple[int, int]] = []
+        for g in _groups(batches):
+            root, size = g.column("root").to_numpy(), g.column("size").to_numpy()
+            f = np.stack([g.column(c).to_numpy() for c in BITS], 1).view(np.uint64)
+            part, n = np.unique(root, return_inverse=True)[1], len(root)
+            for gap in range(1, n):
+                at = np.flatnonzero(part[:-gap] != part[gap:])
+                small, large = np.minimum(size[at], size[at + gap]), np.maximum(size[at], size[at + gap])
+                at = at[small >= similarity * large]
+                at = at[np.bitwise_count(f[at] ^ f[at + gap]).sum(1) <= most]
+                for i in at.tolist():
+                    if part[i] != part[i + gap]:
+                        out.append((int(root[i]), int(root[i + gap])))
+                        part[part == part[i + gap]] = part[i]
+                if gap % 64 == 0 and (part == part[0]).all():
+                    break
+            if len(out) > 10_000:
+                yield _links(out)
+                out = []
+        yield _links(out)
+
+    return run
 
-    def links(group: np.ndarray, node: np.ndarray, f: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
-        out, gap, at = [], 1, np.arange(len(group) - 1)
-        part, size = np.arange(len(group)), np.array([len(s) for s in sets])
-        while len(at := at[at + gap < len(group)]) and len(at := at[group[at] == group[at + gap]]):
-            hit = at[part[at] != part[at + gap]]
-            hit = hit[np.minimum(size[hit], size[hit + gap]) >= similarity * np.maximum(size[hit], size[hit + gap])]
-            hit = hit[np.bitwise_count(f[hit] ^ f[hit + gap]).sum(1) <= most]
-            for i in hit.tolist():
-                if part[i] != part[i + gap] and alike(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[i + gap], np.uint64)) >= similarity:
-                    out.append((int(node[i]), int(node[i + gap])))
-                    part[part == part[i + gap]] = part[i]
-            gap += 1
-        return _links(out)
+
+def _nearest_first(most: int, similarity: float):
+    """Links that join the groups of each block: pairs by rising distance, compared by their shingles unless joined already."""
+
+    def candidates(root, main, size, f, cross):
+        """(distance, i, j) of all pairs that may be similar, by distance."""
+        found = []
+        for s in range(0, len(root), 256):
+            e = min(s + 256, len(root))
+            ok = root[s:e, None] != root[None, s:]
+            if cross:
+                ok &= main[s:e, None] != main[None, s:]
+            ok &= np.arange(s, e)[:, None] < np.arange(s, len(root))[None, :]
+            i, j = (x.astype(np.int32) for x in np.nonzero(ok))
+            i, j = i + np.int32(s), j + np.int32(s)
+            fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+            i, j = i[fits], j[fits]
+            d = np.bitwise_count(f[i] ^ f[j]).sum(1).astype(np.uint16)
+            near = d <= most
+            found.append((d[near], i[near], j[near]))
+        d, i, j = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(d, kind="stable")
+        return i[order], j[order]
 
     def run(batches):
-        held = None
-        for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(6)]
-            sets = np.empty(b.num_rows, object)
-            sets[:] = b.column(6).to_pylist()
-            now = (cols[0], cols[1], np.stack(cols[2:], 1).view(np.uint64), sets)
-            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
-            if not len(held[0]):
-                continue
-            end = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
-            if end:
-                yield links(*(x[:end] for x in held))
-                held = tuple(x[end:] for x in held)
-        if held is not None and len(held[0]):
-            yield links(*held)
+        for g in _groups(batches):
+            root, node, size = (g.column(c).to_numpy() for c in ("root", "node", "size"))
+            main = g.column("main").to_numpy()
+            f = np.stack([g.column(c).to_numpy() for c in BITS], 1).view(np.uint64)
+            sets = g.column("shingles").combine_chunks()
+            flat, at = sets.values.to_numpy(), sets.offsets.to_numpy()
+            part, out = np.unique(root, return_inverse=True)[1], []
+            i, j = candidates(root, main, size, f, bool(g.column("cross")[0].as_py()))
+            while len(i):
+                joined = False
+                for x, y in zip(i[:1000].tolist(), j[:1000].tolist()):
+                    if part[x] != part[y] and alike(flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]]) >= similarity:
+                        out.append((int(node[x]), int(node[y])))
+                        part[part == part[y]] = part[x]
+                        joined = True
+                i, j = i[1000:], j[1000:]
+                if joined:
+                    apart = part[i] != part[j]
+                    i, j = i[apart], j[apart]
+            if out:
+                yield _links(out)
 
     return run

@@ -100,25 +100,43 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
-def test_similar(docs, empty, limit):
-    first = {r.id: r.first_id for r in simhash.similar(docs, pair_limit=limit).collect() if r.id is not None}
+@pytest.mark.parametrize("rows", [2048, 1])
+def test_similar(docs, empty, rows):
+    first = {r.id: r.first_id for r in simhash.similar(docs, part_rows=rows).collect() if r.id is not None}
     assert first[4] == first[5] == first[6] == 4 and first[7] == 7 and first[10] == 10
     assert first[0] == first[1] == first[2] == 0
     assert simhash.similar(empty).count() == 0
 
 
-def test_similar_limit(spark):
-    """Whether a piece has more texts than the limit changes no group."""
-    rows = []
-    for i in range(150):
-        words = [f"w{i}x{j}" for j in range(300)]
-        rows.append((2 * i, " ".join(words)))
-        words[100:128] = [f"v{i}x{j}" for j in range(28)]
-        rows.append((2 * i + 1, " ".join(words)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [{r.id: r.first_id for r in simhash.similar(docs, pair_limit=limit).collect()} for limit in (1000, 1)]
-    assert got[0] == got[1] and sum(got[0][i] != i for i in range(300)) > 100
+def jaccard_groups(rows, shingle=5):
+    """Least id of the component of each row, by brute force over all pairs."""
+    sets = [{tuple(w[j : j + shingle]) for j in range(max(1, len(w) - shingle + 1))} for w in (t.lower().split() for _, t in rows)]
+    part = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if part[i] != part[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            part = [part[i] if p == part[j] else p for p in part]
+    least = {}
+    for p, (k, _) in zip(part, rows):
+        least[p] = min(least.get(p, k), k)
+    return {k: least[p] for p, (k, _) in zip(part, rows)}
+
+
+@pytest.mark.parametrize("rows", [2048, 200])
+def test_similar_hot(spark, rows):
+    """One passage in every text, and over a thousand near copies of one text that are rarely similar to each other."""
+    rng = np.random.default_rng(11)
+    base = [f"b{j}" for j in range(160)]
+    texts = [(0, " ".join(base))]
+    for i in range(1, 1200):
+        words = list(base)
+        for j in rng.choice(160, int(rng.integers(1, 6)), replace=False):
+            words[j] = f"c{i}x{j}"
+        texts.append((i, " ".join(words)))
+    for i in range(1200, 1500):  # the passage with other text around it
+        texts.append((i, " ".join([f"d{i}x{j}" for j in range(int(rng.integers(5, 200)))] + base[:120])))
+    want = jaccard_groups(texts)
+    got = {r.id: r.first_id for r in simhash.similar(spark.createDataFrame(texts, "doc_id long, text string"), part_rows=rows, part_bytes=rows * 1000).collect()}
+    assert got == want and len(set(want.values())) > 100
 
 
 def test_similar_exact(spark):
@@ -148,11 +166,10 @@ def test_similar_exact(spark):
 @pytest.mark.parametrize("limit", [1, 7, 30])
 def test_blocks(spark, limit):
     """Any two texts of a large key meet in a block, and blocks stay small."""
-    df = spark.createDataFrame([(k, i * 7919 + 3) for k, n in ((1, 31), (2, 64)) for i in range(n)], "piece long, node long")
-    counted = df.groupBy("piece").count().withColumnRenamed("count", "n")
+    df = spark.createDataFrame([(k, i * 7919 + 3, n) for k, n in ((1, 31), (2, 64)) for i in range(n)], "key long, node long, n long")
     blocks = collections.defaultdict(set)
-    for r in simhash._blocks(df, counted, ["piece"], limit).collect():
-        blocks[r.piece, r.block].add(r.node)
+    for r in simhash._blocks(df, limit).collect():
+        blocks[r.key, r.block].add(r.node)
     met = {(k[0], *two) for k, b in blocks.items() for two in itertools.combinations(sorted(b), 2)}
     assert len(met) == 31 * 30 // 2 + 64 * 63 // 2 and max(map(len, blocks.values())) <= 2 * limit + 40
 
