@@ -34,20 +34,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     named = simhash.similar(docs).groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"), F.first(F.expr("id <=> first_id AND th = first_th")).alias("kept"))
     named = common.saved(named, common.scratch(spark), "named")
-    gone = common.small(named.where("NOT kept").select(F.col("id").alias("gid"), F.col("th").alias("gth")), 64)
+    gone = common.small(named.where("NOT kept").select(F.col("id").alias("gid"), F.col("th").alias("gth")))
     left = _keyed(docs).join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left_anti")
     # only rows that repeat are shuffled to find their copies
-    twice = common.small(named.where("kept AND n > 1").select(F.col("id").alias("rid"), F.col("th").alias("rth")), 64)
+    twice = common.small(named.where("kept AND n > 1").select(F.col("id").alias("rid"), F.col("th").alias("rth")))
     same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))
     return left.join(twice, same, "left_anti").unionAll(left.join(twice, same, "left_semi").dropDuplicates(["id", "th"])).select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold any window of a benchmark item."""
+    """Drop documents that hold any window of a benchmark item; null texts hold none, repeated rows go or stay together."""
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("n_hit > 0").select(F.col("id").alias("bid"), F.col("th").alias("bth")).distinct()
-    met = _keyed(docs).join(common.small(common.saved(bad, common.scratch(spark), "bad"), 64), F.col("id").eqNullSafe(F.col("bid")) & (F.col("th") == F.col("bth")), "left_anti")
-    return met.select("doc.*")
+    bad = common.small(found.where("n_hit > 0").select(F.col("id").alias("bid"), F.col("th").alias("bth")).distinct())
+    return _keyed(docs).join(bad, F.col("id").eqNullSafe(F.col("bid")) & (F.col("th") == F.col("bth")), "left_anti").select("doc.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T, Window
 
 #: A table is broadcast only if its counted size stays below this.
 BROADCAST_BYTES = 32 << 20
@@ -25,7 +25,7 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 def scratch(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; shared by driver and executors.
 
-    Only a session that names no such folder (a local test) gets one of its own.
+    Only a local session that names no such folder (a test) gets one of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -33,6 +33,8 @@ def scratch(spark: SparkSession) -> str:
         if held.isDefined():
             base = held.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="quillon-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
@@ -68,9 +70,34 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast if a count of ``df`` proves that it fits; else leave the join to Spark."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def _weight(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, with some for what a hash table keeps beside it."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            each = F.aggregate(value, F.lit(0).cast("long"), lambda acc, x: acc + _weight(x, inner))
+        else:
+            each = F.size(value).cast("long") * 8
+        return F.coalesce(each, F.lit(0)) + 24
+    if isinstance(kind, T.StructType):
+        return sum((_weight(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(16)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the measured bytes of ``df`` (a written table) fit; else leave the join to Spark."""
+    each = sum((_weight(F.col(f"`{f.name}`"), f.dataType).cast("long") for f in df.schema.fields), F.lit(32).cast("long"))
+    size = df.agg(F.coalesce(F.sum(each), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if size <= limit else df
+
+
+def partitions(df: DataFrame, bytes_each: int = 128 << 20) -> int:
+    """Shuffle partitions for ``df``: the session's number, or more if the input is estimated to be larger than so many bytes each."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 60 else max(least, -(-size // bytes_each))  # beyond that no size is known
 
 
 def least_rows(df: DataFrame, n: int) -> DataFrame:
@@ -83,7 +110,7 @@ def least_rows(df: DataFrame, n: int) -> DataFrame:
     counted = df.groupBy("part", slot).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("part").orderBy("slot")) - F.col("n")
     last = counted.withColumn("before", before).where(F.col("before") < n).groupBy("part").agg(F.max("slot").alias("last"))
-    last = small(saved(last, scratch(df.sparkSession), "last"), 64)
+    last = small(saved(last, scratch(df.sparkSession), "last"))
     near = df.join(last, "part").where(F.shiftright("rank", 48) <= F.col("last")).drop("last")
     nth = F.row_number().over(Window.partitionBy("part").orderBy("rank", "id"))
     return near.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")

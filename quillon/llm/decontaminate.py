@@ -9,13 +9,16 @@ it, whose words are compared exactly.  DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from . import common
 
 #: Words of a window; shorter items are one window.
 WINDOW = 10
 GRAM = 5
+#: Bits of the first test of a hash.
+BITS = 1 << 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -57,16 +60,34 @@ def _windows(w: Column, starts: Column, length: int) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(win, len, items, fps): each distinct window, the items that have it and its winnowed hash."""
+    """(item, win, len): the distinct windows of each item, its id as a string (null stays null)."""
     it = _keyed(items, id_col, text_col).where("n > 0").withColumn("len", F.least("n", F.lit(window)))
     starts = F.sequence(F.lit(0), F.col("n") - F.col("len"))
-    each = it.select("id", F.explode(F.transform(starts, lambda s: F.struct(F.col("len"), F.slice("w", s + 1, F.col("len")).alias("x")))).alias("v")).select("id", "v.*")
-    each = each.groupBy(F.array_join("x", " ").alias("win"), "len").agg(F.collect_set(F.col("id").cast("string")).alias("items"))
-    parts = F.split("win", " ")
-    fp = F.lit(None).cast("array<bigint>")
+    wins = F.transform(starts, lambda s: F.array_join(F.slice("w", s + 1, F.col("len")), " "))
+    return it.select(F.col("id").cast("string").alias("item"), F.explode(wins).alias("win"), "len").distinct()
+
+
+def window_prints(windows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(fp): the winnowed hash of each distinct window (win, len)."""
+    w, fp = F.split("win", " "), _none("bigint")
     for length in range(window, 0, -1):
-        fp = F.when(F.col("len") == length, winnowed(grams(F.col("x"), F.size("x"), length), length)).otherwise(fp)
-    return each.withColumn("x", parts).withColumn("fps", fp).drop("x")
+        fp = F.when(F.col("len") == length, winnowed(grams(w, F.size(w), length), length)).otherwise(fp)
+    return windows.select(F.explode(fp).alias("fp")).distinct()
+
+
+def bitmap(prints: DataFrame) -> Column:
+    """A literal of BITS bits, those of the hashes in ``prints`` set: a first test that no member fails, of a fixed size."""
+    slot = F.col("fp").bitwiseAND(BITS - 1)
+    bit = F.expr("shiftleft(1L, CAST(fp & 63 AS INT))")
+    words = np.zeros(BITS // 64, np.int64)
+    for r in prints.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).collect():
+        words[r["at"]] = r["bits"]
+    return F.lit(words)
+
+
+def _set(bits: Column, fp: Column) -> Column:
+    word = F.get(bits, F.shiftright(fp.bitwiseAND(BITS - 1), 6).cast("int"))
+    return F.call_function("bit_get", word, fp.bitwiseAND(63).cast("int")) == 1
 
 
 def contaminated(
@@ -76,46 +97,55 @@ def contaminated(
     """(id, th, n_words, n_hit, items) of every row of ``docs``; th is the hash of its text.
 
     ``n_hit`` counts the words inside any occurrence of an item's window,
-    ``items`` lists the ids (as strings, sorted) of the items whose windows
-    occur.  Null texts have no words; repeated rows give a row each; without
-    items nothing is hit.
+    ``items`` lists the ids (as strings, sorted; no nulls) of the items whose
+    windows occur.  Null texts have no words; repeated rows give a row each;
+    an empty table gives none; without items nothing is hit.  Items with equal
+    windows are all listed.
     """
-    folder = common.scratch(docs.sparkSession)
+    spark, folder = docs.sparkSession, common.scratch(docs.sparkSession)
     bench = common.saved(item_windows(items, item_id_col, item_text_col, window), folder, "windows")
-    lengths = sorted((r["len"] for r in bench.select("len").distinct().collect()), reverse=True)  # at most ``window`` values
-    prints = common.small(common.saved(bench.select(F.explode("fps").alias("fp")).distinct(), folder, "prints"), 64)
+    named = common.saved(bench.select("win", "len").distinct().withColumn("wid", F.xxhash64("win", "len")), folder, "named")
+    lengths = sorted((r["len"] for r in named.select("len").distinct().collect()), reverse=True)  # at most ``window`` values
+    prints = common.saved(window_prints(named, window), folder, "prints")
+    bits = bitmap(prints)
     texts = _keyed(docs, id_col, text_col)
     fps = F.concat(*(F.col(f"f{n}") for n in lengths)) if lengths else _none("bigint")
-    kept = texts.select("id", "th", "n", *(grams(F.col("w"), F.col("n"), n).alias(f"h{n}") for n in lengths), "w")
+    kept = texts.select("id", "th", "n", *(grams(F.col("w"), F.col("n"), n).alias(f"h{n}") for n in lengths))
     kept = kept.select("id", "th", "n", *(winnowed(F.col(f"h{n}"), n).alias(f"f{n}") for n in lengths))
-    # one pass over the texts: word counts of all rows, and the kept hashes that items have too
-    base = common.saved(kept.select("id", "th", "n", fps.alias("fps")), folder, "kept")
-    hits = base.where(F.size("fps") > 0).select("id", "th", F.explode("fps").alias("fp")).join(prints, "fp", "left_semi")
-    hits = common.saved(hits.groupBy("id", "th").agg(F.collect_set("fp").alias("fps")), folder, "hits")
-    near = common.small(hits.select(F.col("id").alias("hid"), F.col("th").alias("hth"), "fps"), 4096)
+    # one pass over the texts: word counts of all rows, and the kept hashes that items may have too
+    base = common.saved(kept.select("id", "th", "n", F.filter(fps, lambda x: _set(bits, x)).alias("fps")), folder, "kept")
+    hits = base.where(F.size("fps") > 0).select("id", "th", F.explode("fps").alias("fp")).join(common.small(prints), "fp", "left_semi")
+    hits = common.saved(hits.select("id", "th").distinct(), folder, "hits")
+    near = common.small(hits).select(F.col("id").alias("hid"), F.col("th").alias("hth"))
     # only texts with a hit are split into words again
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
-    t = plain.join(near, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth"))).select("id", "th", "text", "fps")
+    t = plain.join(near, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth"))).select("id", "th", "text")
     t = t.dropDuplicates(["id", "th"]).withColumn("w", words(F.col("text"))).withColumn("n", F.size("w"))
-    t = t.select("id", "th", "n", "w", "fps", *(grams(F.col("w"), F.col("n"), n).alias(f"h{n}") for n in lengths))
-    t = t.select("id", "th", "w", F.concat(_none("struct<s:int,len:int,win:string>"), *(_around(n) for n in lengths)).alias("v"))
+    t = t.select("id", "th", "n", "w", *(grams(F.col("w"), F.col("n"), n).alias(f"h{n}") for n in lengths))
+    t = t.select("id", "th", F.concat(_none("struct<s:int,len:int,win:string>"), *(_around(n, bits) for n in lengths)).alias("v"))
     found = t.select("id", "th", F.explode("v").alias("v")).select("id", "th", "v.*")
-    match = found.join(common.small(bench.select("win", "len", "items"), 512), ["win", "len"])
-    covered = F.flatten(F.transform(F.collect_set(F.struct("s", "len")), lambda x: F.sequence(x["s"], x["s"] + x["len"] - 1)))
-    per = match.groupBy("id", "th").agg(
-        F.size(F.array_distinct(covered)).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
-    )
+    match = common.saved(found.join(common.small(named), ["win", "len"]).select("id", "th", "s", "len", "wid"), folder, "match")
+    # the first word that no window before covers opens a run, so words are counted without a list of them
+    by_text = Window.partitionBy("id", "th").orderBy("s", "len").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max(F.col("s") + F.col("len")).over(by_text), F.lit(0))
+    fresh = F.greatest(F.col("s") + F.col("len") - F.greatest("s", reach), F.lit(0))
+    counted = match.withColumn("fresh", fresh).groupBy("id", "th").agg(F.sum("fresh").alias("n_hit"))
+    owners = common.small(common.saved(bench.where("item IS NOT NULL").select("item", F.xxhash64("win", "len").alias("wid")), folder, "owners"))
+    listed = match.select("id", "th", "wid").distinct().join(owners, "wid").groupBy("id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    c, i = counted.alias("c"), listed.alias("i")
+    per = c.join(i, F.col("c.id").eqNullSafe(F.col("i.id")) & (F.col("c.th") == F.col("i.th")), "left").select("c.id", "c.th", "n_hit", "items")
     b, p = base.select("id", "th", "n").alias("b"), per.alias("p")
-    return b.join(p, F.col("b.id").eqNullSafe(F.col("p.id")) & (F.col("b.th") == F.col("p.th")), "left").select(
+    out = b.join(p, F.col("b.id").eqNullSafe(F.col("p.id")) & (F.col("b.th") == F.col("p.th")), "left").select(
         "b.id", "b.th", F.col("b.n").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", _none("string")).alias("items"),
     )
+    return common.finished(out, folder, "contaminated")
 
 
-def _around(length: int) -> Column:
-    """All windows of ``length`` words around the places whose hash is among ``fps``."""
+def _around(length: int, bits: Column) -> Column:
+    """All windows of ``length`` words around the places whose hash may be an item's."""
     k, h, n = min(GRAM, length), F.col(f"h{length}"), F.col("n")
-    at = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains("fps", x), i)), lambda i: i.isNotNull())
+    at = F.filter(F.transform(h, lambda x, i: F.when(_set(bits, x), i)), lambda i: i.isNotNull())
     starts = F.array_distinct(
         F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - (length - k), F.lit(0)), F.least(i, n - length))))
     )

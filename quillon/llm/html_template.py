@@ -216,7 +216,7 @@ def templates(pages: DataFrame, folder: str) -> DataFrame:
         folder, "tokens",
     )
     size = seen.where("token = 0").select("host", F.col("pages").alias("all"))
-    often = seen.where("token <> 0 AND low <> high").join(common.small(size, 100), "host").where(F.col("pages") >= CLASS_SHARE * F.col("all"))
+    often = seen.where("token <> 0 AND low <> high").join(common.small(size), "host").where(F.col("pages") >= CLASS_SHARE * F.col("all"))
     # a frequent token takes its share of a page, so a class has no more tokens than a few pages
     classes = often.groupBy("host", "vector", "pages", "times").agg(
         F.collect_list("token").alias("tokens"), F.count_distinct(F.col("place") / F.col("pages")).alias("places")
@@ -256,5 +256,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     made = common.saved(templates(rows, folder), folder, "templates")
     bytes_each = made.agg(F.coalesce(F.max(F.size("template")), F.lit(0)).alias("n")).first()["n"] * 8 + 100
     kind = pages.schema[id_col].dataType.simpleString()
-    met = rows.join(common.small(made, bytes_each), "host", "left").select("id", "url", "host", "html", "template")
+    met = rows.join(common.small(made), "host", "left").select("id", "url", "host", "html", "template")
     return met.mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long")

@@ -128,7 +128,7 @@ def train(
     chosen = common.saved(chosen, common.scratch(docs.sparkSession), "chosen")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     # one text an id and language, so that a repeated id adds nothing
-    texts = texts.join(common.small(chosen, 64), ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
+    texts = texts.join(common.small(chosen), ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
     sample = texts.select("text", "lang", F.xxhash64(F.col("id").cast("string")).alias("rank")).mapInArrow(
         _vectors(idf), "v binary, lang string, rank long"
     )

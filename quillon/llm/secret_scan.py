@@ -139,7 +139,7 @@ def scan(
 def redacted(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of (id, text_hash, spans) replaced by ``mark``; other columns stay as they are."""
     s = spans.where(F.size("spans") > 0).dropDuplicates(["id", "text_hash"]).select("id", "text_hash", "spans")
-    s = common.small(s, 2048).alias("_s")
+    s = common.small(s).alias("_s")
     d = docs.alias("_d")
     text = F.col(f"_d.`{text_col}`")
     met = d.join(s, F.col(f"_d.`{id_col}`").eqNullSafe(F.col("_s.id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_s.text_hash")), "left")

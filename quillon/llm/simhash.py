@@ -290,7 +290,7 @@ def similar(
     def shingles_of(wanted: DataFrame, name: str) -> DataFrame:
         """(node, shingles) of wanted nodes; one row speaks for a node."""
         spoken = nodes.join(wanted, "node", "left_semi").select("node", F.col("first.id").alias("wid"), F.col("first.th").alias("wth"))
-        spoken = common.small(common.saved(spoken, folder, f"{name}-rows"), 100)
+        spoken = common.small(common.saved(spoken, folder, f"{name}-rows"))
         met = rows.join(spoken, (F.col("th") == F.col("wth")) & F.col("id").eqNullSafe(F.col("wid"))).select("node", "text")
         return common.saved(met.mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"]), folder, name)
 

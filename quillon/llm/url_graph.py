@@ -98,7 +98,7 @@ def judged(
         trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full"),
         folder, "scores",
     )
-    met = parts.join(common.small(scores, 200), "host", "left")
+    met = parts.join(common.small(scores), "host", "left")
     trusted, distrusted = (F.round(F.coalesce(F.col(c), F.lit(0.0)), 9) for c in ("trust", "distrust"))
     return met.select(
         "id", "host", "path", "rule",
