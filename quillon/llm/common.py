@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T, Window
 
 #: A table is broadcast only if its counted size stays below this.
@@ -127,7 +129,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = _both(edges)
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     return (
-        both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     )
 
 
@@ -142,22 +144,62 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+#: Links that a task contracts at once.
+LINKS = 1 << 20
+
+
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node reachable over the links) of every node of the links (a, b)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        before = root.copy()
+        for side in (x, y):  # hang each link's larger root on the smaller one
+            np.minimum.at(root, root[side], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            return nodes, nodes[root]
+
+
+def _contracted(batches):
+    """Links in parts of ``LINKS``, each replaced by its nodes' links to the least one reachable in the part."""
+
+    def part(held):
+        node, root = roots_of(*(np.concatenate(x) for x in zip(*held)))
+        far = node != root
+        return pa.RecordBatch.from_pydict({"a": pa.array(node[far]), "b": pa.array(root[far])})
+
+    held, n = [], 0
+    for x in batches:
+        held.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+        n += x.num_rows
+        if n >= LINKS:
+            yield part(held)
+            held, n = [], 0
+    if n:
+        yield part(held)
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, root) of every node that has a link; root is the component's smallest node.
 
-    ``edges`` has two longs ``a`` and ``b``.  Alternating large-star and
-    small-star rounds take O(log^2 n) rounds whatever the diameter; each round
+    ``edges`` has two longs ``a`` and ``b``.  Tasks contract parts of ``LINKS``
+    links first.  If there is more than one part, alternating large-star and
+    small-star rounds follow, O(log^2 n) whatever the diameter; each round
     pre-aggregates the minimum of a node before it meets its links, so one very
     large component costs no more than many small ones.  Rounds end when a
     checksum over the links no longer changes.
     """
     spark = edges.sparkSession
-    now = saved(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        folder, "links-0",
-    )
+    bounded_batches(spark)
+    links = saved(edges.where("a <> b").select("a", "b"), folder, "links")
+    parts = max(1, -(-links.count() // LINKS))
+    now = saved(links.coalesce(parts).mapInArrow(_contracted, "a long, b long"), folder, "links-0")
     mark = F.expr("bit_xor(xxhash64(a, b))").alias("x")
-    before, k = now.agg(F.count(F.lit(1)).alias("n"), mark).first(), 0
+    before, k = now.agg(F.count(F.lit(1)).alias("n"), mark).first() if parts > 1 else {"n": 0}, 0
     while before["n"]:
         k += 1
         after = saved(_small_star(_large_star(now)), folder, f"links-{k}")
