@@ -55,13 +55,14 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 
 def slots(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, frequencies): hashed words and byte trigrams of a whole text, each kind summing to one."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    """(slots, frequencies): hashed words and character trigrams of a whole text, each kind summing to one."""
+    text = text or ""
     total = np.zeros(2 * SLOTS)
-    for at in range(0, max(len(raw) - 2, 0), CHUNK):
-        x = raw[at : at + CHUNK + 2].astype(np.uint32)
+    for at in range(0, max(len(text) - 2, 0), CHUNK):
+        x = np.frombuffer(text[at : at + CHUNK + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
         h = (x[:-2] * np.uint32(0x01000193) ^ x[1:-1] * np.uint32(0x85EBCA6B) ^ x[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x9E3779B1)
         total[SLOTS:] += np.bincount(h >> np.uint32(21), minlength=SLOTS)
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     ends = np.flatnonzero(np.diff(np.concatenate([[True], (raw == 32) | ((raw >= 9) & (raw <= 13)), [True]]).astype(np.int8)))
     starts, stops = ends[::2], ends[1::2]
     first = 0
@@ -113,7 +114,7 @@ def _descend(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> tuple[np.nd
     """Logistic regression by Nesterov's accelerated gradient, both classes weighing the same."""
     n, d = x.shape
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
-    step = 1.0 / (0.25 * float(((x * x).sum(1) + 1) @ weight) + l2)
+    step = 1.0 / (0.25 * float((np.einsum("ij,ij->i", x, x) + 1) @ weight) + l2)
     w, b = np.zeros(d, np.float32), 0.0
     pw, pb = w.copy(), b
     for k in range(steps):
@@ -127,22 +128,26 @@ def _descend(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> tuple[np.nd
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model | None:
     """A model from (slots, frequencies, label) rows; None unless both labels occur."""
+    # a quarter of the rows, at the end, is for calibration; all if one label is missing in either part
+    rows = [r for i, r in enumerate(rows) if i % 4 != 3] + rows[3::4]
     y = np.array([r[2] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return None
     x = np.zeros((len(rows), 2 * SLOTS), np.float32)
     for i, (at, freq, _) in enumerate(rows):
         x[i, at] = freq
-    mean, std = x.mean(0), x.std(0)
+    mean = x.mean(0)
+    std = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - mean * mean, 0))
     scale = 1 / np.maximum(std, 0.02 / SLOTS + 0.1 * std.mean())
-    x = (x - mean) * scale / np.sqrt(2 * SLOTS)
-    held = np.arange(len(rows)) % 4 == 3  # calibration rows; all if one label is missing there
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+    x -= mean
+    x *= scale / np.float32(np.sqrt(2 * SLOTS))
+    cut = len(rows) - len(rows) // 4
+    if len(set(y[cut:].tolist())) < 2 or len(set(y[:cut].tolist())) < 2:
         w, b = _descend(x, y, 1e-3, 300)
         z, t = x @ w + b, y
     else:
-        w, b = _descend(x[~held], y[~held], 1e-3, 300)
-        z, t = x[held] @ w + b, y[held]
+        w, b = _descend(x[:cut], y[:cut], 1e-3, 300)
+        z, t = x[cut:] @ w + b, y[cut:]
     # Platt's line with his smoothed targets, by Newton steps
     pos, neg = t.sum(), (1 - t).sum()
     target = np.where(t > 0, (pos + 1) / (pos + 2), 1 / (neg + 2)).astype(float)
@@ -173,7 +178,8 @@ def train(
     """Fit on at most ``max_rows`` labelled ids, those least by a hash of the id.
 
     Rows with a null id or label are left out, as are ids whose labels differ
-    or which have no document; of a repeated id the least text counts.  None if fewer than two labels remain.
+    or which have no document; a repeated label counts once, of a repeated id
+    the least text.  None if fewer than two labels remain, as of an empty table.
     """
     rank = F.xxhash64(F.col("id").cast("string")).alias("rank")
     ids = (
@@ -222,8 +228,10 @@ def judged(
 ) -> DataFrame:
     """One row per row of ``docs``: the counts, base_failed, probability, kept and the columns ``carry``.
 
-    A null text counts as empty and so fails the base rules.  Without a model
-    the probability is null and the base rules decide alone.
+    A null text counts as empty and so fails the base rules.  A probability of
+    exactly ``keep_at`` is kept.  Without a model the probability is null and
+    the base rules decide alone.  Repeated rows give a row each; an empty table
+    gives none.
     """
     out = _scored(docs, model, carry, text_col, keep_at)
     return out.select(*FIELDS, *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))
