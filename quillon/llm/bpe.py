@@ -2,11 +2,13 @@
 
 A first pass splits every text into the words that the tokenizer would merge
 one by one and writes each document as positions in the word list of its block
-of documents, and each block's words as rows.  Distinct words are encoded once;
-joins on the word and on the block bring ids back to each position.  Decoding
-joins the ids with the id-to-piece table, whose size the vocabulary fixes.
-Position arrays are written once, bucketed by block, and stay where they are;
-a frequent word is shuffled once per block however often it occurs.
+of documents.  Word lists are cut by word hash into packed pieces, so that the
+pieces of one hash bucket from all blocks pass through one task, which encodes
+a distinct word when it is first met and answers piece by piece.  A join on the
+block then brings ids back to each position.  Decoding joins the ids with the
+id-to-piece table, whose size the vocabulary fixes.  Position arrays are written
+once, bucketed by block, and stay where they are; packed pieces are all that is
+shuffled, and a frequent word is sent once per block however often it occurs.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .splits import PLAIN, L, N, S, specials, tokenizer, word_ids
 #: The pattern by which the word tokenizer splits; a fixed value of its file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters of text whose words share a list.
-BLOCK_CHARS = 12 << 20
+BLOCK_CHARS = 24 << 20
 
 
 class WordSplitter:
@@ -66,18 +68,32 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _split(path: str, block_chars: int):
-    """Rows of two kinds: documents as places in their block's word list, and the words of the list."""
+NAMES = ["block", "id", "at", "bucket", "nth", "words"]
+#: Words that a packed piece of a list holds at most, and that an encoding task remembers before it starts afresh.
+PIECE_WORDS, KNOWN_WORDS = 20_000, 1_000_000
 
-    def batch(blocks, ids, at, nth, words):
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), ids, pa.array(at, pa.binary()), pa.array(nth, pa.int32()), pa.array(words, pa.string())], ["block", "id", "at", "nth", "word"])
 
-    def words_of(block, seen, kind):
-        held = list(seen)
-        for i in range(0, len(held), 10_000):
-            some = held[i : i + 10_000]
-            n = len(some)
-            yield batch([block] * n, pa.nulls(n, kind), [None] * n, range(i, i + n), some)
+def _lists(block: int, seen: dict[str, int], buckets: int, kind: pa.DataType) -> pa.RecordBatch:
+    """The words of a block by hash bucket: sorted, packed in pieces, with their places in the block's list."""
+    by: dict[int, list[str]] = {}
+    for w in seen:
+        by.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
+    bucket, nth, words = [], [], []
+    for k, group in by.items():
+        group.sort()
+        for i in range(0, len(group), PIECE_WORDS):
+            some = group[i : i + PIECE_WORDS]
+            bucket.append(k)
+            nth.append(_pack(np.fromiter((seen[w] for w in some), np.uint32, len(some))))
+            words.append(zlib.compress("\n".join(some).encode(), 1))  # words hold no white space
+    n = len(bucket)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block] * n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.array(bucket, pa.int32()), pa.array(nth, pa.binary()), pa.array(words, pa.binary())], NAMES
+    )
+
+
+def _split(path: str, block_chars: int, buckets: int):
+    """Rows of two kinds: documents as places in their block's word list, and the list itself."""
 
     def run(batches):
         split = WordSplitter(path)
@@ -91,27 +107,38 @@ def _split(path: str, block_chars: int):
                 blocks.append(block)
                 size += len(t or "")
                 if size >= block_chars:
-                    full.append((block, seen))
+                    full.append(_lists(block, seen, buckets, kind))
                     seen, block, size = {}, block + 1, 0
             n = len(at)
-            yield batch(blocks, b.column(0), at, [None] * n, [None] * n)
-            for one in full:
-                yield from words_of(*one, kind)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks, pa.int64()), b.column(0), pa.array(at, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], NAMES
+            )
+            yield from full
         if seen:
-            yield from words_of(block, seen, kind)
+            yield _lists(block, seen, buckets, kind)
 
     return run
 
 
 def _encode(path: str):
-    """The ids of distinct words, as little-endian uint32."""
+    """Answer the packed pieces of the task's buckets one by one; a word is encoded when it is first met."""
 
     def run(batches):
-        tok = tokenizer(path)
+        tok, known = tokenizer(path), {}
         special = specials(tok)[0]
         for b in batches:
-            ids = [np.array([special[w]] if w in special else word_ids(tok, w), "<u4").tobytes() for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
+            counts, flat = [], []
+            for packed in b.column("words"):
+                words = zlib.decompress(packed.as_py()).decode().split("\n")
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = [special[w]] if w in special else word_ids(tok, w)
+                ids = [known[w] for w in words]
+                counts.append(_pack(np.fromiter(map(len, ids), np.uint32, len(ids))))
+                flat.append(_pack(np.fromiter((i for x in ids for i in x), np.uint32)))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("nth"), pa.array(counts, pa.binary()), pa.array(flat, pa.binary())], ["block", "nth", "counts", "ids"])
 
     return run
 
@@ -126,12 +153,11 @@ def piece_table(path: str) -> pa.Array:
 def _joined(path: str):
     """Join the ids of a block's words, and the pieces of these ids, back by position."""
 
-    def run(_, docs: pa.Table, words: pa.Table) -> pa.Table:
-        nth, held = words.column("nth").to_numpy().astype(np.int64), words.column("ids").to_pylist()
-        flat = np.frombuffer(b"".join(held), "<u4")
-        lengths = np.fromiter((len(x) // 4 for x in held), np.int64, len(held))
+    def run(_, docs: pa.Table, lists: pa.Table) -> pa.Table:
+        cols = [[_unpack(x) for x in lists.column(c).to_pylist()] for c in ("nth", "counts", "ids")]
+        nth, lengths, flat = (np.concatenate(c) if c else np.zeros(0, np.uint32) for c in cols)
         start, length = np.zeros(len(nth), np.int64), np.zeros(len(nth), np.int64)
-        start[nth], length[nth] = np.cumsum(lengths) - lengths, lengths
+        start[nth], length[nth] = np.cumsum(lengths, dtype=np.int64) - lengths, lengths
         pieces, blobs, decoded, counts = piece_table(path), [], [], []
         for packed in docs.column("at").to_pylist():
             at = _unpack(packed)
@@ -155,24 +181,25 @@ def encode_decode(
 
     One row per row of ``docs``, repeated ids included; an empty table gives
     none.  Null and empty texts have no ids and decode to the empty string.
-    What one Python task holds is bounded by ``block_chars`` and the longest
-    text; words are rows of the engine's joins.  ``buckets`` (by default from
-    the estimated size of ``docs``) deal the blocks.  ``path`` names a
-    tokenizer file without a decoder, which joins pieces by a space.
+    What a task holds is bounded by ``block_chars`` and the longest text, and by
+    ``KNOWN_WORDS``.  ``buckets`` (by default from the estimated size of
+    ``docs``) deal words and blocks.  ``path`` names a tokenizer file without a
+    decoder, which joins pieces by a space.
     """
     spark = docs.sparkSession
     common.bounded_batches(spark)
+    buckets = buckets or common.partitions(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     split = common.bucketed(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-            _split(path, block_chars), f"block long, id {kind}, at binary, nth int, word string"
+            _split(path, block_chars, buckets), f"block long, id {kind}, at binary, bucket int, nth binary, words binary"
         ),
-        common.scratch(spark), "split", "block", buckets or common.partitions(docs),
+        common.scratch(spark), "split", "block", buckets,
     )
-    words = split.where("word IS NOT NULL").select("block", "nth", "word")
-    each = words.select("word").distinct().mapInArrow(_encode(path), "word string, ids binary")
-    coded = words.join(each, "word").select(F.col("block").alias("of"), "nth", "ids")
-    texts = split.where("word IS NULL").select("block", "id", "at")
-    return texts.groupBy("block").cogroup(coded.groupBy("of")).applyInArrow(
+    lists = split.where("bucket IS NOT NULL").select("bucket", F.col("block").alias("of"), "nth", "words")
+    dealt = lists.repartitionById(buckets, "bucket").select(F.col("of").alias("block"), "nth", "words")
+    coded = dealt.mapInArrow(_encode(path), "block long, nth binary, counts binary, ids binary")
+    texts = split.where("bucket IS NULL").select("block", "id", "at")
+    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(
         _joined(path), f"id {kind}, n long, ids binary, decoded string"
     )
