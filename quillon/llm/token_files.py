@@ -3,10 +3,12 @@
 Format, one pair of files per shard ``s`` of documents in ascending id order:
 
 * ``ids-<s>.bin``: ids as little-endian uint16 (uint32 if the vocabulary needs it);
-* ``docs-<s>.bin``: little-endian int64; the document ids, then the offsets of
-  their first ids within the shard, then the shard's length.
+* ``docs-<s>.bin``: little-endian int64; the document ids, then for each 1 if
+  its id is null (and given as 0), then the offsets of their first ids within
+  the shard, then the shard's length.
 
-Both are memory-mapped on reading.  A shard's base, the number of ids in all
+On a local or mounted file system both are memory-mapped on reading; from
+another store documents are read in ranges.  A shard's base, the number of ids in all
 shards before it, is a prefix sum over the counts that its writer returns.
 Writers put a file under a name of their own and rename it, so repeated or
 speculative tasks leave whole files.
@@ -24,7 +26,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import common
 from .splits import PLAIN, L, N, S, specials, tokenizer, word_ids
@@ -33,6 +35,8 @@ from .splits import PLAIN, L, N, S, specials, tokenizer, word_ids
 WORDS = rf" ?[{L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 #: Words that a worker remembers; beyond that it starts afresh.
 CACHED_WORDS = 800_000
+#: Documents that a reader holds at once.
+READ_DOCS = 1000
 
 
 class ByteEncoder:
@@ -117,45 +121,64 @@ def _write(folder: str, dtype: str):
         store, path = _place(folder)
         shard, width = key[0].as_py(), np.dtype(dtype).itemsize
         store.create_dir(path, recursive=True)
-        own, names, sizes = f"{path}/ids-{shard:06d}.bin.{uuid.uuid4().hex}", [], []
+        own, names, nulls, sizes = f"{path}/ids-{shard:06d}.bin.{uuid.uuid4().hex}", [], [], []
         with store.open_output_stream(own) as f:
             for b in batches:
-                names.append(b.column("id").to_numpy(zero_copy_only=False).astype("<i8"))
+                nulls.append(b.column("id").is_null().to_numpy(zero_copy_only=False).astype("<i8"))
+                names.append(b.column("id").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 blobs = b.column("ids").to_pylist()
                 sizes.append(np.fromiter((len(x) // width for x in blobs), np.int64, len(blobs)))
                 f.write(b"".join(blobs))
         store.move(own, f"{path}/ids-{shard:06d}.bin")
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
-        _put(store, f"{path}/docs-{shard:06d}.bin", [np.concatenate(names).tobytes(), offsets.tobytes()])
+        _put(store, f"{path}/docs-{shard:06d}.bin", [np.concatenate(names).tobytes(), np.concatenate(nulls).tobytes(), offsets.tobytes()])
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": pa.array([len(offsets) - 1], pa.int64()), "ids": pa.array([int(offsets[-1])], pa.int64())})
 
     return run
 
 
-def _mapped(store: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    if isinstance(store, pafs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+class Flat:
+    """A flat file of numbers: mapped if the folder is local, else read in ranges."""
 
+    def __init__(self, store: pafs.FileSystem, path: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        self.size = store.get_file_info(path).size // self.dtype.itemsize
+        local = isinstance(store, pafs.LocalFileSystem)
+        self.file = None if local else store.open_input_file(path)
+        self.mapped = np.memmap(path, dtype, "r") if local and self.size else np.zeros(0, dtype)
 
-def read_shard(folder: str, shard: int, dtype: str = "<u2") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document ids, offsets, ids) of a shard, memory-mapped if the folder is local."""
-    store, path = _place(folder)
-    docs = _mapped(store, f"{path}/docs-{shard:06d}.bin", "<i8")
-    n = (len(docs) - 1) // 2
-    return docs[:n], docs[n:], _mapped(store, f"{path}/ids-{shard:06d}.bin", dtype)
+    def __getitem__(self, span: slice) -> np.ndarray:
+        if self.file is None:
+            return self.mapped[span]
+        start, stop, _ = span.indices(self.size)
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at(max(stop - start, 0) * width, start * width), self.dtype)
+
+
+class Shard:
+    """A shard's documents: how many, and a range of their ids, null marks, offsets and token ids."""
+
+    def __init__(self, folder: str, shard: int, dtype: str = "<u2"):
+        store, path = _place(folder)
+        self.docs, self.ids = Flat(store, f"{path}/docs-{shard:06d}.bin", "<i8"), Flat(store, f"{path}/ids-{shard:06d}.bin", dtype)
+        self.n = (self.docs.size - 1) // 3
+
+    def span(self, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        stop = min(stop, self.n)
+        at = self.docs[2 * self.n + start : 2 * self.n + stop + 1]
+        return self.docs[start:stop], self.docs[self.n + start : self.n + stop] > 0, at, self.ids[int(at[0]) : int(at[-1])]
 
 
 def _read(folder: str, dtype: str):
     def run(batches):
         for b in batches:
             for shard, base in zip(b.column("shard").to_pylist(), b.column("base").to_pylist()):
-                names, at, ids = read_shard(folder, shard, dtype)
-                for i in range(0, len(names), 5000):
-                    ends = at[i : i + 5001]
+                held = Shard(folder, shard, dtype)
+                for i in range(0, held.n, READ_DOCS):
+                    names, null, at, ids = held.span(i, i + READ_DOCS)
+                    ends = np.array(at) - at[0]
                     crc = [zlib.crc32(ids[s:e].astype("<u4")) for s, e in zip(ends[:-1], ends[1:])]
-                    yield pa.RecordBatch.from_pydict({"id": pa.array(np.array(names[i : i + 5000])), "start": pa.array(np.array(ends[:-1]) + base), "n": pa.array(np.diff(ends)), "crc": pa.array(crc, pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(np.array(names), mask=np.array(null)), "start": pa.array(np.array(at[:-1]) + base), "n": pa.array(np.diff(ends)), "crc": pa.array(crc, pa.int64())})
 
     return run
 
@@ -166,17 +189,20 @@ def write_token_files(
 ) -> DataFrame:
     """Write the files of ``docs`` to ``folder`` and return (shard, docs, ids, base) of each shard.
 
-    Documents are cut into ``shards`` ranges of ids by approximate quantiles of
-    the id column (its only pass besides the encoding one), encoded where they
-    are read, and their ids shuffled to the shards.  Null and empty texts hold
-    only the end id.  Equal ids keep one entry each, by the bytes of their
-    ids; rows with a null id sort first, under the id -1.
+    Documents are cut into ``shards`` (by default from the estimated size of
+    ``docs``) ranges of ids by approximate quantiles of the id column (its only
+    pass besides the encoding one), encoded where they are read, and their ids
+    shuffled to the shards.  Ids are whole numbers or null; nulls sort first.
+    Null and empty texts hold only the end id.  Rows of equal ids keep one
+    entry each, by the bytes of their ids; an empty table gives no shard.
     """
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} holds no whole numbers")
+    shards = shards or common.partitions(docs)
     dtype = "<u2" if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
+    key = F.col(id_col).cast("long")
     cuts = docs.select(key.cast("double").alias("id")).approxQuantile("id", [i / shards for i in range(1, shards)], 0.1 / shards)
     cuts = sorted({int(x) for x in cuts})
     shard = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= key)) if cuts else F.lit(0)
