@@ -21,9 +21,12 @@ SLOTS = 4096
 CENTROIDS = 3
 #: Learning rows per language that centroids are fitted on at most, those least by a hash of the id.
 FIT_ROWS = 400
-#: Share of a centroid's own learning rows that lie outside its bound.
+#: Share of the texts nearest to a centroid that lie outside its bound, by rows that the centroids have not seen.
 OUTSIDE = 0.005
+#: Of so many learning rows of a language one is kept from the centroids, for the bounds.
+BOUND_EVERY = 4
 UNKNOWN = "und"
+LETTER = r"\p{L}"
 CHUNK = 1 << 20
 
 
@@ -67,7 +70,7 @@ class Model:
         if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0, True
         near = self.centroids @ vector(text, self.idf)
-        best = int(near.argmax())
+        best = int(near.argmax())  # of equal cosines the first: languages are in order
         return self.langs[best], float(np.clip(near[best], 0, 1)), bool(near[best] < self.bounds[best])
 
 
@@ -112,13 +115,17 @@ def train(
     """Learn from all rows of ``docs`` with a language and a letter.
 
     Document frequencies come from all rows, summed in the tasks first;
-    centroids from at most ``fit_rows`` ids of each language, with the least
-    text of a repeated id.  Without any row the model knows no language and calls every text unknown.
+    centroids and bounds from at most ``fit_rows`` ids of each language, with
+    the least text of a repeated id.  Ids are taken by a hash and, where hashes
+    are equal, by the id.  Without any row the model knows no language and
+    calls every text unknown.
     """
     common.bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.xxhash64(F.col(id_col).cast("string")).alias("rank"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).where("lang IS NOT NULL AND text IS NOT NULL")
+    letters = F.col(text_col).rlike(LETTER)
+    docs, rows = docs.where(letters), rows.where(F.col("text").rlike(LETTER))
     df = np.zeros(SLOTS + 1)
     for r in rows.select("text").mapInArrow(_frequencies, "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df")).collect():
         df[r["slot"]] = r["df"]
@@ -141,12 +148,15 @@ def train(
         x = x[np.linalg.norm(x, axis=1) > 0]
         if not len(x):
             continue
-        c = _kmeans(x, centroids)
-        near = x @ c.T
+        apart = np.arange(len(x)) % BOUND_EVERY == BOUND_EVERY - 1
+        c = _kmeans(x[~apart], centroids)
+        unseen = x[apart] if apart.any() else x
+        near = unseen @ c.T
         own = near.argmax(1)
         found.append(c)
         langs += [lang] * len(c)
-        bounds += [float(np.quantile(near[own == i, i], outside)) if (own == i).any() else 1.0 for i in range(len(c))]
+        # of few unseen rows the least one is the bound; of none nearest to a centroid, the least of all
+        bounds += [float(np.quantile(near[own == i, i], outside)) if (own == i).any() else float(near.max(1).min()) for i in range(len(c))]
     return Model(idf, np.concatenate(found) if found else np.zeros((0, SLOTS)), langs, np.array(bounds))
 
 
@@ -166,6 +176,8 @@ def identify(docs: DataFrame, model: Model, carry: list[str], text_col: str = "t
 
     Null, empty and letterless texts are ``und`` with score 0.  ``rejected``
     marks texts beyond their centroid's bound; they keep the nearest language.
+    Of equally near languages the first by name is taken; repeated rows give a
+    row each; an empty table gives none.
     """
     common.bounded_batches(docs.sparkSession)
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
