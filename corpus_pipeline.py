@@ -50,14 +50,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret by a mark, and count the characters anew; no document goes."""
-    spans = common.saved(secret_scan.scan(docs).select("id", "text_hash", "spans"), common.scratch(spark), "spans")
-    clean = secret_scan.redacted(docs, spans)
+    """Replace every live-looking secret and every copied example by a mark of its own, and count the characters anew.
+
+    No document goes; a null text stays null; repeated rows stay repeated.
+    """
+    clean = secret_scan.redacted(docs, secret_scan.scan(docs).select("id", "text_hash", "spans"))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def bpe_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids (little-endian uint32) of each document, and a hash of what they decode to."""
+    """The token ids (little-endian uint32) of each document, and a hash of what they decode to; a null text has none.
+
+    Repeated rows give a row each.
+    """
     out = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

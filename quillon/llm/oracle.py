@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 from .decontaminate import LOWER, UPPER, WINDOW, WORD
-from .secret_scan import CANDIDATE, KINDS, MAX_OWNERS, MAX_REPOSITORIES
-from .url_graph import DAMPING, LINK, ROUNDS, RULES
+from .secret_scan import CANDIDATE, KINDS, MAX_OWNERS
+from .url_graph import DAMPING, LEAST, LINK, RULES
 
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _rank_steps(name: str, src: str, dst: str, seeds: str) -> str:
-    """Unrolled rounds of a personalised PageRank over ``links``."""
-    out = f"{name}_0 AS (SELECT host, 1.0::DOUBLE / count(*) OVER () AS score FROM hosts WHERE {seeds}),\n"
-    out += f"{name}_share AS (SELECT {src} AS src, {dst} AS dst, n::DOUBLE / sum(n) OVER (PARTITION BY {src}) AS share FROM links),\n"
-    for k in range(1, ROUNDS + 1):
-        out += f"""{name}_{k} AS (
-  SELECT coalesce(s.host, g.host) AS host, coalesce(s.score, 0) * {1 - DAMPING} + coalesce(g.got, 0) * {DAMPING} AS score
-  FROM {name}_0 s FULL JOIN (
-    SELECT x.dst AS host, sum(x.share * r.score) AS got FROM {name}_share x JOIN {name}_{k - 1} r ON r.host = x.src GROUP BY x.dst
-  ) g ON g.host = s.host
-),
+def _walks(name: str, src: str, dst: str, seeds: str) -> str:
+    """Rounds of walks of a personalised PageRank over ``links``, while one brings some host ``LEAST``."""
+    return f"""{name}_share AS (
+  SELECT {src} AS src, {dst} AS dst, n::DOUBLE / sum(n) OVER (PARTITION BY {src}) AS share FROM links
+), {name}_walk AS (
+  SELECT host, {1 - DAMPING!r}::DOUBLE AS x FROM hosts WHERE {seeds}
+  UNION ALL
+  SELECT dst, x FROM (
+    SELECT s.dst, sum(s.share * w.x) * {DAMPING!r} AS x, max(sum(s.share * w.x)) OVER () * {DAMPING!r} AS top
+    FROM {name}_walk w JOIN {name}_share s ON s.src = w.host GROUP BY s.dst
+  ) WHERE top >= {LEAST!r}
+), {name} AS (SELECT host, sum(x) AS score FROM {name}_walk GROUP BY host),
 """
-    return out
 
 
 def url_sql() -> str:
@@ -33,7 +33,7 @@ def url_sql() -> str:
     ) + " END"
     url = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     return f"""
-WITH parts AS (
+WITH RECURSIVE parts AS (
   SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), {quoted(url)}, 1), '{UPPER}', '{LOWER}') AS host,
     regexp_extract(coalesce(url, ''), {quoted(url)}, 2) AS path
   FROM pages
@@ -47,9 +47,9 @@ WITH parts AS (
 ), links AS (
   SELECT src, dst, count(*) AS n FROM targets WHERE src <> '' AND src <> dst GROUP BY src, dst
 ),
-{_rank_steps("trust", "src", "dst", "2 * good > n")}{_rank_steps("distrust", "dst", "src", "2 * bad > n")}scores AS (
-  SELECT host, round(coalesce(t.score, 0), 9) AS trust, round(coalesce(d.score, 0), 9) AS distrust
-  FROM trust_{ROUNDS} t FULL JOIN distrust_{ROUNDS} d USING (host)
+{_walks("trust", "src", "dst", "2 * good > n")}{_walks("distrust", "dst", "src", "2 * bad > n")}scores AS (
+  SELECT host, round(coalesce(t.score, 0), 10) AS trust, round(coalesce(d.score, 0), 10) AS distrust
+  FROM trust t FULL JOIN distrust d USING (host)
 )
 SELECT page_id, host, path, rule,
   coalesce(action, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
@@ -72,7 +72,9 @@ def _kind_rows(kind: str, rank: int, pattern: str, least: int, group: int) -> st
 
 def secret_sql() -> str:
     base = " UNION ALL ".join(_kind_rows(k, i, p, n, g) for i, (k, p, n, g) in enumerate(KINDS))
-    shown = "string_agg(kind || ':' || s::BIGINT || ':' || (s + l)::BIGINT, ',' ORDER BY s, rank)"
+    place = "kind || ':' || s::BIGINT || ':' || (s + l)::BIGINT"
+    shown = f"string_agg({place}, ',' ORDER BY s, rank)"
+    judged = f"string_agg({place} || CASE WHEN owners <= {MAX_OWNERS} THEN ':live:' ELSE ':copied:' END || owners || ':' || repositories, ',' ORDER BY s, rank)"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 base AS ({base}),
@@ -82,18 +84,20 @@ mixed AS (
   WHERE length(regexp_replace(value, '[^0-9]', '', 'g')) >= 4 AND length(regexp_replace(value, '[^A-Za-z]', '', 'g')) >= 4
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.s < c.s + c.l AND c.s < b.s + b.l)
 ),
-rare AS (
-  SELECT value FROM mixed GROUP BY value
-  HAVING count(DISTINCT coalesce('=' || source, '')) <= {MAX_OWNERS} AND count(DISTINCT coalesce('=' || doc_id, '')) <= {MAX_REPOSITORIES}
+held AS (
+  SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners, count(DISTINCT coalesce('=' || doc_id, '')) AS repositories
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM mixed) GROUP BY value
+),
+every AS (
+  SELECT * FROM (SELECT * FROM base UNION ALL SELECT * FROM mixed) JOIN held USING (value) WHERE kind <> 'owned' OR owners <= {MAX_OWNERS}
 ),
-every AS (SELECT * FROM base UNION ALL SELECT * FROM mixed WHERE value IN (SELECT value FROM rare)),
 counted AS (
   SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
-    count(*) FILTER (kind = 'hex') AS n_hex, {shown} FILTER (kind <> 'owned') AS base, {shown} AS spans
+    count(*) FILTER (kind = 'hex') AS n_hex, {shown} FILTER (kind <> 'owned') AS base, {shown} AS spans, {judged} AS verdicts
   FROM every GROUP BY rid
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(verdicts, '') AS verdicts
 FROM docs LEFT JOIN counted USING (rid)
 """
 

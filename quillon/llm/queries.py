@@ -67,6 +67,7 @@ def secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex",
         F.sha2(secret_scan.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         secret_scan.joined(F.col("spans")).alias("spans"),
+        secret_scan.joined(F.col("spans"), secret_scan.verdict, lambda s: s["owners"], lambda s: s["repositories"]).alias("verdicts"),
     )
 
 

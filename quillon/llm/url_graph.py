@@ -16,7 +16,8 @@ from . import common
 #: (action, host, path) of the production rules; fixed values.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
-ROUNDS = 8
+#: Walks are made longer while they bring some host as much as this of a seed's weight of one.
+LEAST = 1e-6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Target host of an absolute link.
@@ -46,40 +47,39 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, folder: str, name: str, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, folder: str, name: str, damping: float = DAMPING, least: float = LEAST) -> DataFrame:
     """(host, score) of a personalised PageRank from ``seeds`` (host) along ``edges`` (src, dst, n).
 
-    Each round is written out, so no round computes an earlier one again.
+    A score is the weight of all walks from the seeds to a host, a seed weighing
+    one however many there are.  Each round makes the walks one link longer and
+    is written out; rounds end when the longer walks bring no host as much as
+    ``least``.
     """
-    total = seeds.count()
-    start = seeds.select("host", F.lit(1.0 / max(total, 1)).alias("seed"))
-    score = common.saved(start.select("host", F.col("seed").alias("score")), folder, f"{name}-0")
-    out = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    shares = edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share"))
-    if not total or edges.isEmpty():
-        return score
-    shares = common.saved(shares, folder, f"{name}-shares")
-    for k in range(1, rounds + 1):
-        sent = shares.join(score.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        score = common.saved(
-            start.join(sent, "host", "full").select(
-                "host", (F.coalesce("seed", F.lit(0.0)) * (1 - damping) + F.coalesce("got", F.lit(0.0)) * damping).alias("score")
-            ),
-            folder, f"{name}-{k}",
-        )
-        common.removed(edges.sparkSession, f"{folder}/{name}-{k - 1}")
-    return score
+    home, k = f"{folder}/{name}", 0
+    now = common.saved(seeds.select("host", F.lit(1 - damping).alias("x")), home, "0")
+    if not edges.isEmpty() and not now.isEmpty():
+        out = edges.groupBy("src").agg(F.sum("n").alias("all"))
+        shares = common.saved(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), folder, f"{name}-shares")
+        while True:
+            met = shares.join(now.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host"))
+            now = common.saved(met.agg((F.sum(F.col("share") * F.col("x")) * damping).alias("x")), home, str(k + 1))
+            if (now.agg(F.max("x").alias("top")).first()["top"] or 0) < least:
+                break
+            k += 1
+    walks = edges.sparkSession.read.schema("host string, x double").parquet(*(f"{home}/{i}" for i in range(k + 1)))
+    return walks.groupBy("host").agg(F.sum("x").alias("score"))
 
 
 def judged(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = DAMPING,
-    rounds: int = ROUNDS,
+    least: float = LEAST,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) of every row of ``pages``.
 
     Null urls and urls without ``://`` have an empty host and path, fit no rule
-    and are allowed.  Hosts that no evidence reaches are allowed.  Repeated
-    rows are judged alike and count as often as they occur.
+    and are allowed.  Hosts that no evidence reaches, or as much trust as
+    distrust, are allowed.  Repeated rows are judged alike and count as often as
+    they occur; null html has no link; an empty table gives none.
     """
     folder = common.scratch(pages.sparkSession)
     parts = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -91,15 +91,15 @@ def judged(
     )
     hosts = common.saved(per, folder, "hosts")
     edges = common.saved(host_links(pages, url_col, html_col), folder, "links")
-    trust = spread(edges, hosts.where("2 * good > n"), folder, "trust", damping, rounds)
+    trust = spread(edges, hosts.where("2 * good > n"), folder, "trust", damping, least)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = spread(back, hosts.where("2 * bad > n"), folder, "distrust", damping, rounds)
+    distrust = spread(back, hosts.where("2 * bad > n"), folder, "distrust", damping, least)
     scores = common.saved(
         trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full"),
         folder, "scores",
     )
     met = parts.join(common.small(scores), "host", "left")
-    trusted, distrusted = (F.round(F.coalesce(F.col(c), F.lit(0.0)), 9) for c in ("trust", "distrust"))
+    trusted, distrusted = (F.round(F.coalesce(F.col(c), F.lit(0.0)), 10) for c in ("trust", "distrust"))
     return met.select(
         "id", "host", "path", "rule",
         F.coalesce("action", F.when(distrusted > trusted, "block").otherwise("allow")).alias("verdict"),
