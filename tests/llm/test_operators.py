@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillon.llm import bpe, common, decontaminate, html_template, langid, quality, secret_scan, simhash, splits, suffix_dedup, token_files, url_graph
 
@@ -59,11 +60,17 @@ def test_token_files(spark, docs, empty):
     index = token_files.write_token_files(one, folder, path, shards=3)
     got = {r.id: (r.start, r.n, r.crc) for r in token_files.read_token_files(index, folder, path).collect()}
     start = 0
-    for d in sorted(one.where("doc_id IS NOT NULL").collect(), key=lambda r: r.doc_id):
+    for d in sorted(one.collect(), key=lambda r: (r.doc_id is not None, r.doc_id)):  # the null id first
         ids = [*tok.encode(d.text or "", add_special_tokens=False).ids, 0]
-        at, n, crc = got[d.doc_id]
-        assert (at - got[-1][1], n, crc) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += n
+        assert got[d.doc_id] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    with_minus = spark.createDataFrame([(None, "a"), (-1, "b c"), (-1, "b c"), (5, "d")], "doc_id long, text string")
+    folder = common.scratch(spark)
+    index = token_files.write_token_files(with_minus, folder, path)
+    back = [(r.id, r.n) for r in token_files.read_token_files(index, folder, path).orderBy("start").collect()]
+    assert back == [(None, 2), (-1, 3), (-1, 3), (5, 2)]
+    with pytest.raises(ValueError):
+        token_files.write_token_files(with_minus, folder, path, id_col="text")
     folder = common.scratch(spark)
     assert token_files.read_token_files(token_files.write_token_files(empty, folder, path), folder, path).count() == 0
 
@@ -215,7 +222,7 @@ def test_secrets(docs, empty):
             want += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, t or "") if len(m[group]) >= least]
         assert [tuple(s) for s in rows[i].base] == sorted(want)
     assert (rows[9].n_assign, rows[9].n_access, rows[9].n_hex) == (1, 1, 1)
-    assert [s.kind for s in rows[11].spans] == ["assign"]
+    assert [(s.kind, s.owners, s.live) for s in rows[11].spans] == [("assign", 1, True)]
     spans = secret_scan.scan(docs)
     clean = secret_scan.redacted(docs, spans)
     assert clean.columns == docs.columns and clean.count() == docs.count()
@@ -224,10 +231,20 @@ def test_secrets(docs, empty):
 
 
 def test_ownership(spark):
-    token = "Zx81-Qw27-Er93-Ty45-Ui6"
-    rows = [(1, f"key {token} x", "a"), (2, f"{token}", "a"), (3, "copied SAMPLE1234TOKEN5678ABCD", "a"), (4, "SAMPLE1234TOKEN5678ABCD", "b"), (5, "plainlettersonlywithoutanydigit", "c")]
-    got = {r.id: [s.kind for s in r.spans] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert got == {1: ["owned"], 2: ["owned"], 3: [], 4: [], 5: []}
+    """A planted example in many owners' texts is copied, a key that one owner repeats stays live; base spans stay whatever they are."""
+    token, copied = "Zx81-Qw27-Er93-Ty45-Ui6", "SAMPLE1234TOKEN5678ABCD"
+    rows = [(i, f"key {token} x", "a") for i in range(1, 6)]
+    rows += [(10 + i, f"copied {copied} password=abcDEF123456", f"s{i}") for i in range(3)] + [(20, "token: liveABCDEFGHIJ99", "b"), (20, "token: liveABCDEFGHIJ99", "b")]
+    rows += [(30, "plainlettersonlywithoutanydigit", "c"), (31, copied, None), (None, f"{token}", "a"), (40, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    held = secret_scan.scan(docs)
+    got = {r.id: [(s.kind, s.owners, s.repositories, s.live) for s in r.spans] for r in held.collect()}
+    for i in range(1, 6):
+        assert got[i] == [("owned", 1, 6, True)]
+    assert got[10] == got[11] == got[12] == [("assign", 3, 3, False)] and got[20] == [("assign", 1, 1, True)]
+    assert got[None] == [("owned", 1, 6, True)] and got[30] == got[31] == got[40] == [] and held.count() == len(rows)
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(docs, held).collect()}
+    assert clean[1] == "key [SECRET] x" and clean[10] == f"copied {copied} [EXAMPLE]" and clean[20] == "[SECRET]" and clean[40] is None
 
 
 def test_decontamination(spark, docs, empty):
@@ -286,13 +303,64 @@ def test_quality(spark, docs, empty):
 def test_languages(spark, docs, empty):
     a, b = "the cat and the dog were in the house with ", "der hund und die katze waren in dem haus mit "
     rows = [(i, (a if i % 2 else b) * (i % 5 + 1) + str(i), "en" if i % 2 else "de") for i in range(60)]
-    model = langid.train(spark.createDataFrame([*rows, (None, "x", "fr"), (70, None, "en"), (71, "y", None)], "doc_id long, text string, lang string"))
-    assert all(model.predict(t)[0] == lang for _, t, lang in rows)
+    extra = [(None, "x", "fr"), (70, None, "en"), (71, "y", None), *((100 + i, "12 34 !! 56", "xx") for i in range(20))]  # no letter: not learnt from
+    model = langid.train(spark.createDataFrame([*rows, *extra], "doc_id long, text string, lang string"))
+    assert all(model.predict(t)[0] == lang for _, t, lang in rows) and set(model.langs) == {"de", "en"}
     assert model.predict("12 !!") == ("und", 0.0, True) and model.predict(None)[0] == "und"
     out = langid.identify(docs, model, ["doc_id", "kept"])
     assert out.count() == docs.count() and all(0 <= r.score <= 1 for r in out.collect())
     nothing = langid.train(empty)
     assert nothing.predict("text")[0] == "und" and langid.identify(empty, nothing, ["doc_id"]).count() == 0
+    tied = langid.Model(model.idf, np.stack([model.centroids[0]] * 2), ["aa", "bb"], np.zeros(2))
+    assert tied.predict(a)[0] == "aa"  # of equal cosines the first by name
+
+
+def test_languages_held_out(spark):
+    """Accuracy and rejections on rows the model has not seen."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.train(docs.where(~apart))
+    got = langid.identify(docs.where(apart).where("text rlike '[a-z]'"), model, ["lang"]).collect()
+    right = sum(r.lang_pred == r.lang for r in got if r.lang is not None)
+    known = sum(r.lang is not None for r in got)
+    rejected = sum(r.rejected for r in got)
+    assert right >= 0.95 * known and rejected <= 0.06 * len(got), (right, known, rejected)
+    assert model.predict("ζωή και θάνατος στην πόλη του ήλιου " * 5)[2]  # no learned language
+
+
+def test_quality_held_out(spark):
+    """Accuracy and calibration on labelled rows the model has not seen; fitted on half of them."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    model = quality.train(docs, labels.where(half))
+    rows = docs.join(labels.where(~half), "doc_id").select("text", "quality").collect()
+    p, y = np.array([model.probability(r.text) for r in rows]), np.array([r.quality for r in rows])
+    assert ((p >= 0.5) == (y > 0)).mean() >= 0.9
+    for low, high in ((0, 0.2), (0.8, 1.01)):  # what is called sure is so about as often as said
+        here = (p >= low) & (p < high)
+        assert here.sum() < 50 or abs(p[here].mean() - y[here].mean()) < 0.1
+    assert quality.slots("añb\u4e2d")[1].sum() == 2 and len(quality.slots("añb")[0]) == 2  # one word, one trigram of characters
+
+
+@pytest.mark.parametrize("size", [quality.CHUNK - 3, quality.CHUNK + 3])
+def test_long_texts(spark, size):
+    """Texts that cross the blocks of the operators count as if they were whole."""
+    rng = np.random.default_rng(size)
+    words = [f"w{i}" for i in rng.integers(0, 5000, size // 5)]
+    text = (" ".join(words))[:size] + " é end of it"
+    grams = collections.Counter(text[i : i + 3] for i in range(len(text) - 2))
+    raw = text.lower().encode()
+    assert langid.gram_counts(text).sum() == sum(len(raw) - n + 1 for n in (2, 3, 4))
+    got = np.zeros(2 * quality.SLOTS)
+    at, freq = quality.slots(text)
+    got[at] = freq
+    for g, n in list(grams.items())[:50]:  # a trigram's own slot holds at least its share
+        own = quality.slots(g)[0][-1]
+        assert got[own] >= n / (len(text) - 2) - 1e-12
+    assert np.isclose(got.sum(), 2)
+    toks = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    h = [xxhash.xxh64_intdigest(b" ".join(toks[i : i + 3]), 42) for i in range(len(toks) - 2)]
+    assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
 def test_urls(spark):
@@ -309,6 +377,54 @@ def test_urls(spark):
     assert url_graph.judged(pages.limit(0)).count() == 0
 
 
+def test_spread(spark):
+    """Scores on a graph of two thousand hosts, one of them linked by most, against the solved linear system; far hosts get some too."""
+    rng = np.random.default_rng(3)
+    n = 2000
+    links = {(i, int(j)) for i in range(n) for j in rng.integers(0, n, 3) if i != j} | {(i, 7) for i in range(n) if i != 7}
+    chain = [(n + i, n + i + 1) for i in range(25)]  # hosts up to 25 links away from a seed
+    links |= set(chain)
+    m, seeds = n + 26, [3, 50, n]
+    w = np.zeros((m, m))
+    for i, j in links:
+        w[j, i] = 1
+    w /= np.maximum(w.sum(0), 1)
+    want = np.linalg.solve(np.eye(m) - 0.85 * w, 0.15 * np.isin(np.arange(m), seeds))
+    edges = common.saved(spark.createDataFrame([(str(i), str(j), 1) for i, j in links], "src string, dst string, n long"), common.scratch(spark), "edges")
+    start = spark.createDataFrame([(str(i),) for i in seeds], "host string")
+    got = {int(r.host): r.score for r in url_graph.spread(edges, start, common.scratch(spark), "trust").collect()}
+    assert all(abs(got.get(i, 0) - want[i]) < 1e-4 for i in range(m)) and got[n + 25] > 0
+    # twice the seeds elsewhere change no score here
+    more = spark.createDataFrame([(str(i),) for i in [*seeds, *range(9000, 9100)]], "host string")
+    again = {int(r.host): r.score for r in url_graph.spread(edges, more, common.scratch(spark), "trust").collect()}
+    assert all(abs(again[i] - got[i]) < 1e-9 for i in got)
+
+
+def test_urls_sql(spark):
+    """The verdicts of a generated graph are those of the SQL, walks and all."""
+    import duckdb
+
+    from quillon.llm import queries as corpus
+
+    rng = np.random.default_rng(8)
+    hosts = [f"h{i}.{'net' if i % 11 == 0 else 'org' if i % 7 == 0 else 'com'}" for i in range(300)]
+    rows = []
+    for i, h in enumerate(hosts):
+        out = "".join(f'<a href="http://{hosts[int(j)].upper()}/x">' for j in rng.integers(0, 300, 3)) + '<a href="//h5.com">' * (i % 3 == 0)
+        rows.append((i, f"https://{h}/{'fr' if i % 2 else 'en'}/{i}", out, "clash"))
+    rows += [rows[0], (None, None, None, None), (1000, "http://lonely.com/" + "a" * 3000, "<p>" * 200_000, "clash")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    folder = common.scratch(spark)
+    pages.coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    got = sorted(map(str, map(tuple, corpus.url_link_graph(spark, folder).select("page_id", "host", "path", "rule", "verdict").collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder.removeprefix('file://')}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({corpus.oracle_sql()['op5_url_link_graph']})").fetchall()
+    assert got == sorted(map(str, want))
+    plain = [x for x in want if x[3] is None]
+    assert {x[4] for x in plain} == {"allow", "block"}  # the graph decides some both ways
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T{0}</title><script>var x = "<p>no</p>";</script></head><body><header><a href=/>Home</a></header>
 <nav><ul><li>One<li>Two</ul></nav><!-- <p>hidden</p> --><article><h1>Head {0}</h1><p>First&nbsp;para &amp; <b>bold {0}<br>line<p>Second &lt;p&gt; {1}
 <div class="cookie-notice">Accept</div><p>All rights reserved by us</p><form><p>Mail</p></form><section id="comments"><p>Nice {0}</p></section></article>
