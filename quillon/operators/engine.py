@@ -6,6 +6,7 @@ import contextlib
 import copy
 import dataclasses
 import logging
+import threading
 import time
 import typing
 import uuid
@@ -27,6 +28,10 @@ class NestedTransaction(Exception):
     pass
 
 
+class Cancelled(Exception):
+    """The engine's work was cancelled; its transaction can't be committed."""
+
+
 class Engine:
     """A database bound to a session and, for changes, to a store.
 
@@ -42,9 +47,43 @@ class Engine:
         self._views: dict[str, tuple[Any, str]] = {}
         self._overlay: dict[str, Entry] | None = None
         self._base: Version | None = None
+        self._cancelled = threading.Event()
+        self.group = ""
 
     # names
 
+    def with_context(self, group: str) -> Engine:
+        """A copy whose Spark jobs form a group that :meth:`cancel` ends; threads that use it call :meth:`enter` first."""
+        out = copy.copy(self)
+        out.group, out._cancelled, out._views = group, threading.Event(), {}
+        return out
+
+    def enter(self) -> Engine:
+        self.spark.sparkContext.setJobGroup(self.group, self.group, True)
+        return self
+
+    def cancel(self) -> None:
+        """End the group's running jobs; an open transaction can only be rolled back."""
+        self._cancelled.set()
+        if self.group:
+            self.spark.sparkContext.cancelJobGroup(self.group)
+
+    def create_database(self) -> None:
+        """Make the store's folder, if it isn't there."""
+        self.store.create()
+
+    def create_schema(self, schema: str) -> None:
+        self.store.create(schema)
+
+    def drop_database(self) -> None:
+        """Remove the store with all its tables, and what this engine knew of them."""
+        if self._overlay is not None:
+            raise NestedTransaction("a transaction is open")
+        self.store.drop_all()
+        for _, view in self._views.values():
+            self.spark.catalog.dropTempView(view)
+        self._views = {}
+
     def with_schema(self, schema: str) -> Engine:
         """A copy whose tables belong to a schema."""
         out = copy.copy(self)
@@ -135,10 +174,33 @@ class Engine:
             return self.query(node)
         if self.store is None:
             raise ValueError("changes need a store")
+        start = time.monotonic()
         if self._overlay is not None:
-            return self._apply(node)
-        with self.transaction():
-            return self._apply(node)
+            out = self._apply(node)
+        else:
+            with self.transaction():
+                out = self._apply(node)
+        log.debug("%.1f ms: %s", 1000 * (time.monotonic() - start), self.change_text(node))
+        return out
+
+    def change_text(self, node: Insert | Update | Delete) -> str:
+        """A change as text with its values written in, for logs."""
+        scope, name = Scope(), quote(node.table.qualified)
+        given = [a for a in node.additions if not nil(a) and not isinstance(a, (Where, OnConflict, Returning))]
+        where = " WHERE " + self._condition(node, node.table, scope) if any(isinstance(a, Where) and not nil(a) for a in node.additions) else ""
+        tail = where + "".join(f" {a.sql(scope)}" for a in given if a.sql(scope))
+        sets = lambda items: ", ".join(f"{quote(a.target.name)} = {sql_of(a.value, scope)}" for a in items)
+        if isinstance(node, Delete):
+            return f"DELETE FROM {name}{tail}"
+        if isinstance(node, Update):
+            return f"UPDATE {name} SET {sets(node.assignments)}{tail}"
+        columns = ", ".join(quote(c.name) for c in node.columns)
+        rows = node.source.sql(scope) if node.source is not None else "VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else sql_of(v, scope) for v in r) + ")" for r in node.rows)
+        conflict = next((a for a in node.additions if isinstance(a, OnConflict)), None)
+        if conflict is not None:
+            keys = "".join(f" ({', '.join(quote(c.name) for c in conflict.columns)})" if conflict.columns else "")
+            tail += f" ON CONFLICT{keys} DO " + (f"UPDATE SET {sets(conflict.assignments)}" if conflict.assignments else "NOTHING")
+        return " ".join(["INSERT", *node.modifiers, "INTO", f"{name} ({columns})", rows]) + tail
 
     def _apply(self, node: Expr) -> DataFrame | None:
         if isinstance(node, Insert):
@@ -180,7 +242,7 @@ class Engine:
         new, next_id = self._completed(table, entry, given)
         if conflict is None:
             return self._append(table, entry, new, next_id)
-        keys = [tuple(c.name for c in conflict.columns)] if conflict.columns else [k.columns for k in table.unique_keys()]
+        keys = [tuple(c.name for c in conflict.columns)] if conflict.columns else unique_keys(table, entry)
         return self._upsert(table, entry, new, next_id, keys, conflict)
 
     def _completed(self, table: Table, entry: Entry, given: DataFrame) -> tuple[DataFrame, int]:
@@ -220,60 +282,75 @@ class Engine:
         shift = self.spark.createDataFrame(offsets, "_part int, _shift long")
         return rows.join(F.broadcast(shift), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
-    def _append(self, table: Table, entry: Entry, new: DataFrame, next_id: int) -> DataFrame:
-        part = self.store.add(table.qualified, new)
+    def _append(self, table: Table, entry: Entry, new: DataFrame, next_id: int, free: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
+        """Add rows; the keys in ``free`` are known to clash with none."""
+        part = self._add(table, entry, new)
         added = self.store.read(with_parts(entry, (part,)))
         old = self.store.read(entry)
-        for key in table.unique_keys():
-            self._check_unique(key.columns, old, added)
+        for key in unique_keys(table, entry):
+            if key not in free:
+                self._check_unique(key, old, added)
         self._overlay[table.qualified] = with_parts(entry, (*entry.parts, part), next_id)
         return added
 
+    def _add(self, table: Table, entry: Entry, rows: DataFrame) -> str:
+        """A new folder of a table's rows, sorted in its files by a BTREE index, so that readers skip by minima and maxima."""
+        for key in entry.keys:
+            if key["method"] == "BTREE" and not key["unique"] and key["columns"]:
+                rows = rows.sortWithinPartitions(*key["columns"])
+                break
+        return self.store.add(table.qualified, rows)
+
     def _check_unique(self, columns: tuple[str, ...], old: DataFrame, new: DataFrame) -> None:
         """New rows may neither repeat a key among themselves nor one that is there; nulls never clash."""
         if not columns:
             return
-        full = new.dropna(subset=list(columns)).select(*columns)
-        if not full.groupBy(*columns).count().where("count > 1").isEmpty() or not full.join(old.select(*columns), list(columns), "left_semi").isEmpty():
+        full = new.select(*columns).dropna()
+        if not full.groupBy(*columns).count().where("count > 1").isEmpty() or not old.select(*columns).join(few(full), list(columns), "left_semi").isEmpty():
             raise ConflictError(f"duplicate value for unique key ({', '.join(columns)})")
 
     def _upsert(self, table: Table, entry: Entry, new: DataFrame, next_id: int, keys: list[tuple[str, ...]], conflict: OnConflict) -> DataFrame:
         """Insert rows whose keys are free; assign to the others, or leave them."""
         if not keys or not all(keys):
             return self._append(table, entry, new, next_id)
-        staged = self.spark.read.schema(new.schema).parquet(self.store.add("_staged", new))
+        fields = [f.name for f in entry.struct]
+        staged = self.spark.read.parquet(self.store.add("_staged", new.withColumn("_row", F.monotonically_increasing_id())))
         # of new rows with one key the first (by all its columns) counts
         for key in keys:
-            rank = F.row_number().over(_window(key, staged.columns))
-            staged = staged.withColumn("_n", rank).where(F.col("_n").eqNullSafe(1) | F.expr(" OR ".join(f"`{k}` IS NULL" for k in key))).drop("_n")
-        old = self.store.read(entry)
-        fresh = staged
-        for key in keys:
-            fresh = fresh.join(old.select(*key), list(key), "left_anti").select(*staged.columns)
+            rank = F.row_number().over(_window(key, fields + ["_row"]))
+            staged = staged.withColumn("_n", rank).where(F.col("_n").eqNullSafe(1) | F.expr(" OR ".join(f"{quote(k)} IS NULL" for k in key))).drop("_n")
+        old, met, earlier = self.store.read(entry), None, F.lit(False)
+        for key in keys:  # an equal join by each key; rows that an earlier key brought together are there already
+            mine = few(staged.select(F.struct(*staged.columns).alias("excluded"), *(F.col(quote(k)).alias(f"_k{i}") for i, k in enumerate(key))))
+            equal = [F.col(quote(k)) == F.col(f"_k{i}") for i, k in enumerate(key)]
+            pairs = old.join(mine, equal).where(~earlier).select(*fields, "excluded")
+            met = pairs if met is None else met.unionAll(pairs)
+            same = F.lit(True)
+            for k in key:
+                same = same & F.coalesce(F.col(quote(k)) == F.col(f"excluded.{quote(k)}"), F.lit(False))
+            earlier = earlier | same
+        met = self.spark.read.parquet(self.store.add("_staged", met))
+        fresh = staged.join(few(met.select("excluded._row").distinct()), "_row", "left_anti").select(*fields)
         parts, changed = entry.parts, None
-        if conflict.assignments:
-            same = F.expr(" OR ".join("(" + " AND ".join(f"`o`.`{k}` = `n`.`{k}`" for k in key) + ")" for key in keys))
-            targets = {a.target.name: a.value for a in conflict.assignments}
-            met = old.alias("o").join(staged.alias("n"), same) if len(keys) > 1 else old.alias("o").join(staged.alias("n"), F.expr(" AND ".join(f"`o`.`{k}` = `n`.`{k}`" for k in keys[0])))
-            out = []
-            for f in entry.struct:
-                if f.name in targets:
-                    # columns of the table by its name are old values, of ``excluded`` the new ones
-                    text = sql_of(targets[f.name], Scope(qualify=True)).replace(f"{quote(table.name)}.", "`o`.").replace("`excluded`.", "`n`.")
-                    out.append(checked(F.expr(_old(text, entry)), f, f.name).alias(f.name))
-                else:
-                    out.append(F.col(f"o.{quote(f.name)}").alias(f.name))
-            matched_key = list(keys[0]) if len(keys) == 1 else [f.name for f in entry.struct]
-            updated = self.spark.read.schema(new.schema).parquet(self.store.add("_staged", met.select(*out, *(F.col(f"o.{quote(k)}").alias(f"_k{i}") for i, k in enumerate(matched_key)))))
-            full = self.spark.read.parquet(*updated.inputFiles()) if not updated.isEmpty() else None
-            if full is not None:
-                gone = full.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(matched_key))).distinct()
-                touched, kept = self._split(entry, gone, matched_key)
-                rest = touched.join(gone, _null_safe(touched, gone, matched_key), "left_anti")
-                part = self.store.add(table.qualified, rest.unionByName(full.select(*[f.name for f in entry.struct])))
-                parts, changed = (*kept, part), full.select(*[f.name for f in entry.struct])
-        entry = with_parts(entry, parts)
-        added = self._append(table, entry, fresh, next_id)
+        if conflict.assignments and not met.isEmpty():
+            targets = {a.target.name: sql_of(a.value, Scope(qualify=True)) for a in conflict.assignments}
+            view = f"q_{uuid.uuid4().hex}"
+            met.createOrReplaceTempView(view)
+            # a row is the old one by its columns and the table's name, and the new one by ``excluded``
+            picked = ", ".join(f"{targets.get(f, quote(f))} AS {quote(f)}" for f in fields)
+            rows = self.spark.sql(f"SELECT {picked} FROM {quote(view)} AS {quote(table.name)}")
+            rows = rows.select(*(checked(F.col(quote(f.name)), f, f"{table.name}.{f.name}").alias(f.name) for f in entry.struct))
+            primary = next((tuple(k["columns"]) for k in entry.keys if k["unique"] and k["name"] == "primary"), None)
+            by = list(primary or (keys[0] if len(keys) == 1 else fields))
+            gone = few(met.select(*by).distinct())
+            touched, kept = self._split(entry, gone, by)
+            rest = touched.join(gone, _null_safe(touched, gone, by), "left_anti")
+            changed = self.spark.read.schema(rows.schema).parquet(self.store.add("_staged", rows))
+            parts = (*kept, self._add(table, entry, rest.unionByName(changed)))
+            for key in unique_keys(table, entry):
+                if set(key) & set(targets):
+                    self._check_unique(key, rest.unionByName(self.store.read(with_parts(entry, kept))), changed)
+        added = self._append(table, with_parts(entry, parts), fresh, next_id, tuple(keys))
         return added if changed is None else added.unionByName(changed)
 
     def _split(self, entry: Entry, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, tuple[str, ...]]:
@@ -287,8 +364,8 @@ class Engine:
         hit = tuple(p for p in entry.parts if p.rpartition("/")[2] in names)
         return self.store.read(with_parts(entry, hit)), tuple(p for p in entry.parts if p not in hit)
 
-    def _condition(self, node: Update | Delete, table: Table) -> str:
-        scope = self.scope()
+    def _condition(self, node: Update | Delete, table: Table, scope: Scope | None = None) -> str:
+        scope = scope or self.scope()
         parts = [a.condition.sql(scope) for a in node.additions if isinstance(a, Where) and not nil(a)]
         return " AND ".join(f"({p})" for p in parts) or "TRUE"
 
@@ -324,14 +401,14 @@ class Engine:
         hit = f"SELECT *, coalesce({condition}, FALSE) AS _hit FROM {quote(view)} AS {quote(table.name)}"
         rows = self.spark.sql(f"SELECT {picked}, _hit FROM ({hit}) AS {quote(table.name)}")
         rows = rows.select(*(checked(F.col(quote(f.name)), f, f"{table.name}.{f.name}").alias(f.name) for f in entry.struct), "_hit")
-        part = self.store.add(table.qualified, rows)
+        part = self._add(table, entry, rows)
         marked = self.spark.read.parquet(part)
         new = with_parts(entry, (*kept, part))
         changed = marked.where("_hit").drop("_hit")
-        for key in table.unique_keys():
-            if set(key.columns) & set(values):
+        for key in unique_keys(table, entry):
+            if set(key) & set(values):
                 rest = marked.where("NOT _hit").drop("_hit").unionByName(self.store.read(with_parts(entry, kept)))
-                self._check_unique(key.columns, rest, changed)
+                self._check_unique(key, rest, changed)
         self._overlay[table.qualified] = new
         return changed
 
@@ -341,10 +418,17 @@ class Engine:
         touched, kept = self._touched(table, entry, condition)
         gone = self._where(table, touched, condition)
         left = self._where(table, touched, f"NOT coalesce({condition}, FALSE)")
-        parts = kept if len(kept) == len(entry.parts) else (*kept, self.store.add(table.qualified, left))
+        parts = kept if len(kept) == len(entry.parts) else (*kept, self._add(table, entry, left))
         self._overlay[table.qualified] = with_parts(entry, parts)
         return gone
 
+    def compact(self, table: Table) -> None:
+        """Rewrite a table's folders, of which each insert adds one, as one folder."""
+        with self.transaction():
+            entry = self._entry(table)
+            if len(entry.parts) > 1:
+                self._overlay[table.qualified] = with_parts(entry, (self._add(table, entry, self.store.read(entry)),))
+
     def affected(self, node: Update | Delete) -> int:
         """Run a change and say how many rows it met."""
         out = self.execute(dataclasses.replace(node, additions=(*node.additions, Returning())))
@@ -382,6 +466,8 @@ class Engine:
             raise ValueError("no transaction is open")
         base, overlay = self._base, self._overlay
         self._base = self._overlay = None
+        if self._cancelled.is_set():
+            raise Cancelled(f"{self.group or 'work'} was cancelled")
         if overlay != base.tables:
             self.store.commit(base, overlay)
 
@@ -434,11 +520,21 @@ def _null_safe(left: DataFrame, right: DataFrame, columns: list[str]):
     return out
 
 
-def _old(text: str, entry: Entry) -> str:
-    """Bare column names of an upsert's expression mean the old row."""
-    import re
+def unique_keys(table: Table, entry: Entry) -> list[tuple[str, ...]]:
+    """Columns of the unique keys: those stored, as the statement's table declares them; keys of an expression have none."""
+    declared = {k.name: k.columns for k in table.keys}
+    return [tuple(declared.get(k["name"], k["columns"])) for k in entry.keys if k["unique"] and k["columns"]]
+
+
+#: Most bytes of a table that is sent to every task.
+FEW_BYTES = 32 << 20
+
 
-    return re.sub(r"(?<![.`\w])`(\w+)`(?!\.)", lambda m: f"`o`.`{m[1]}`" if m[1] in {f.name for f in entry.struct} else m[0], text)
+def few(df: DataFrame) -> DataFrame:
+    """A broadcast of ``df`` if its measured bytes are few; else the join is left to Spark."""
+    each = sum((F.coalesce(F.octet_length(F.to_json(F.struct(quote(c)))), F.lit(0)) for c in df.columns), F.lit(64))
+    size = df.agg(F.coalesce(F.sum(each), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if size <= FEW_BYTES else df
 
 
 def default_sql(text: str) -> str:

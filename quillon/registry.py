@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import registry_store
 from .functions import types as codecs
 from .operators.engine import Engine, Tasks
 from .operators.migrate import migrate, one
@@ -215,8 +216,8 @@ PLAIN: dict[str, tuple[Callable[[], n.Expr], str]] = {
     "join_prefix": (lambda: _joined(lambda t: s.join(t, "LEFT", "OUTER")), _on_customer("LEFT OUTER")),
     "join_cross": (lambda: s.select(a(n.col("n_name"), n.col("r_name"))).from_("nation", s.cross_join("region")), "SELECT n_name, r_name FROM nation CROSS JOIN region"),
     "join_using": (
-        lambda: s.select(n.cols("user_id", "n")).from_("events", s.inner_join(n.Alias(s.select(a(n.col("user_id"), n.count().alias("n"))).from_("events", s.group_by(n.col("user_id"))), "per")).using_("user_id"), s.where(n.col("event_id").lt(1000))),
-        "SELECT user_id, n FROM events JOIN (SELECT user_id, COUNT(1) AS n FROM events GROUP BY user_id) per USING (user_id) WHERE event_id < 1000",
+        lambda: s.select(n.cols("user_id", "n")).from_("events", s.inner_join(n.Alias(s.select(a(n.col("user_id"), n.count().alias("n"))).from_("events", s.group_by(n.col("user_id"))), "per")).using_("user_id")),
+        "SELECT user_id, n FROM events JOIN (SELECT user_id, COUNT(1) AS n FROM events GROUP BY user_id) per USING (user_id)",
     ),
     "join_natural": (
         lambda: s.select(n.cols("n_nationkey", "n_name")).from_("nation", s.join(n.Alias(s.select(n.cols("n_nationkey")).from_("nation", s.where(n.col("n_regionkey").eq(1))), "x"), "NATURAL")),
@@ -462,8 +463,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         k: lambda spark, sf_dir, make=make: engine(spark, sf_dir).query(make()) for k, (make, _) in PLAIN.items()
     }
-    return out | {k: run for k, (run, _) in CHANGES.items()}
+    return out | {k: run for k, (run, _) in CHANGES.items()} | registry_store.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: text for k, (_, text) in {**PLAIN, **CHANGES}.items()}
+    return {k: text for k, (_, text) in {**PLAIN, **CHANGES}.items()} | registry_store.oracle_sql()

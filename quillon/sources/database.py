@@ -61,6 +61,14 @@ class ServerSource:
     def with_database(self, name: str) -> ServerSource:
         return replace(self, url=re.sub(r"^(jdbc:\w+://[^/]+)/[^?;]*", rf"\1/{name}", self.url))
 
+    def root(self) -> tuple[ServerSource, str]:
+        """The server without the database, and the database's name; for an embedded one, the url that creates it."""
+        found = re.match(r"^(jdbc:(\w+)://[^/]+)/([^?;]*)(.*)$", self.url)
+        if found is None:
+            return replace(self, url=f"{self.url};create=true"), ""
+        home = "postgres" if found[2] == "postgresql" else ""
+        return replace(self, url=f"{found[1]}/{home}{found[4]}"), found[3]
+
     def read(self, spark: SparkSession, table: str, column: str = "", low: int = 0, high: int = 0, parts: int = 1) -> DataFrame:
         reader = spark.read.format("jdbc").option("url", self.url).option("dbtable", table).options(**dict(self.options))
         if column:
