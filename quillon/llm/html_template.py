@@ -1,12 +1,16 @@
 """Main-text extraction by equivalence-class template deduction.
 
-Pages of a host come from few templates.  Every start tag (with its path) and
-every text block (with its path and words) is a token; its occurrence vector
-holds how often it occurs on each page of the host.  Tokens with equal vectors
-form an equivalence class.  The tokens of a host's large, frequent classes of
-one order are its template, a plain set: classes are not nested.  Element roles
-and class words choose a page's main zone; its text blocks, less template
-blocks, are the main text.
+Distinct pages of a host come from few templates.  Every start tag (with its
+path of names and classes) and every text block (with its path and words) is a
+token; its occurrence vector holds how often it occurs on each page of the
+host.  Tokens with equal vectors form an equivalence class.  A host's large and
+frequent classes whose tokens stand in one order, and each of which lies in one
+gap of the class around it, are nested into its template.  What a page has
+between the template's tokens is its slots; the innermost template element that
+holds most of a host's slot text is the main region.  An ``<article>`` or
+``<main>`` around or inside the region takes its place, and roles and class
+words take adverts, forms and comments out of it; on pages without a template,
+roles decide alone.
 
 Vectors are never built: each (page, count) pair is hashed and the hashes are
 combined with exclusive or, so the vectors of a host with any number of pages
@@ -15,10 +19,12 @@ are compared by one aggregate that tasks combine first.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import html as entities
 import re
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -33,6 +39,7 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
+DIGITS = re.compile(r"\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object xmp".split())
@@ -43,6 +50,8 @@ BLOCK = frozenset(
 )
 #: Elements whose end tag may be missing before another of the same kind.
 LOOSE = frozenset("p li dt dd tr td th option thead tbody tfoot".split())
+#: Elements that can be a region of a page.
+CONTAINERS = frozenset("html body main article section div table tbody tr td center".split())
 #: Never main text, wherever they stand.
 OUTSIDE = frozenset("head nav footer aside form menu dialog button select option label fieldset".split())
 #: Words in class, id or role that mark what surrounds an article.
@@ -55,6 +64,16 @@ MARKED = frozenset(
 HEADERS = frozenset(("header", "masthead", "topbar"))
 
 
+def _label(attributes: str) -> str:
+    """Class and id of an element without their digits, which often number pages."""
+    out = ""
+    if "class" in attributes or "id" in attributes:
+        for name, value in ATTRIBUTE.findall(attributes):
+            if name.lower() in ("class", "id"):
+                out += "." + DIGITS.sub("", value.strip("\"'").lower())
+    return out
+
+
 def _marked(attributes: str, inside: bool) -> bool:
     """Whether an element's class, id or role marks it as outside of the main text."""
     for name, value in ATTRIBUTE.findall(attributes):
@@ -69,16 +88,25 @@ def _marked(attributes: str, inside: bool) -> bool:
     return False
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str, int]]]:
-    """Text blocks (path, text, zone) and start tags (path, how many blocks came before) of a page, in order.
+@dataclass(frozen=True)
+class Block:
+    """A text block: its path, its text, its zone (0 outside the main text, 1 body, 2 main element, 3 article), the containers around it."""
 
-    Zones: 0 outside the main text, 1 body, 2 main element, 3 article.
-    """
+    path: str
+    text: str
+    zone: int
+    around: tuple[str, ...]
+    heading: bool
+
+
+def blocks(page: str | None, roles: bool = True) -> tuple[list[Block], list[tuple[str, int]]]:
+    """Text blocks and start tags (path, how many blocks came before) of a page, in order."""
     page = page or ""
-    found: list[tuple[str, str, int]] = []
+    found: list[Block] = []
     tags: list[tuple[str, int]] = []
     stack: list[tuple[str, str, bool, int]] = []  # name, path, outside, zone
     text: list[str] = []
+    places: dict[str, int] = {}
     at, n = 0, len(page)
 
     def path() -> str:
@@ -90,7 +118,9 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str
             whole = SPACE.sub(" ", "".join(text)).strip()
             text.clear()
             if whole:
-                found.append((path(), whole, 0 if stack and stack[-1][2] else stack[-1][3] if stack else 1))
+                around = tuple(x[1] for x in stack if x[0] in CONTAINERS)
+                zone = 0 if roles and stack and stack[-1][2] else stack[-1][3] if stack else 1
+                found.append(Block(path(), whole, zone, around, any(x[0] in ("h1", "h2") for x in stack)))
 
     while at < n:
         m = MARKUP.search(page, at)
@@ -119,7 +149,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str
         outer = stack[-1] if stack else ("", "", False, 1)
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
-            tags.append((f"{outer[1]}/{name}", len(found)))
+            tags.append((f"{outer[1]}/{name}", len(found)))  # raw text is no block
             if m[3].endswith("/") and name in ("svg", "math", "object"):
                 continue
             at = end.end() if end else n
@@ -147,9 +177,13 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, int]], list[tuple[str
         if name == "article" and "comment" in m[3].lower():
             out = True
         zone = 3 if name == "article" else max(outer[3], 2) if name == "main" or re.search(r"role\s*=\s*[\"']?main", m[3], re.I) else outer[3]
-        tags.append((f"{outer[1]}/{name}", len(found)))
+        place = f"{outer[1]}/{name}{_label(m[3])}"
+        if name in CONTAINERS:  # containers of one label are told apart by their order
+            nth = places[place] = places.get(place, 0) + 1
+            place += f":{nth}"
+        tags.append((place, len(found)))
         if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, f"{outer[1]}/{name}", out, zone))
+            stack.append((name, place, out, zone))
     close()
     return found, tags
 
@@ -158,103 +192,207 @@ def _token(kind: str, path: str, text: str = "") -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(f"{kind}{path}\0{text}".encode("utf-8", "surrogatepass")), "little", signed=True)
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _spot(path: str) -> int:
+    return _token("s", path)
+
+
 def tokens(page: str | None) -> dict[int, list[int]]:
     """Tokens of a page: how often each occurs, and where first."""
     found, tags = blocks(page)
     out: dict[int, list[int]] = {}
-    order = sorted([(2 * i + 1, _token("t", p, t)) for i, (p, t, _) in enumerate(found)] + [(2 * i, _token("s", p)) for p, i in tags])
+    order = sorted([(2 * i + 1, _token("t", b.path, b.text)) for i, b in enumerate(found)] + [(2 * i, _spot(p)) for p, i in tags])
     for rank, (_, token) in enumerate(order):
         out.setdefault(token, [0, rank])[0] += 1
     return out
 
 
-def main_text(page: str | None, template: set[int] | None = None) -> str:
-    """The blocks of the innermost main zone that has any, less those that are template tokens.
+def nested(rows: list[tuple[int, int, int, int, float]]) -> list[tuple[int, bool]]:
+    """The template of one host: (token, whether it stands once on each page that has it).
 
-    If they hold half of the zone's characters, they all stay: a template frames
-    an article, and what makes up most of one is text that near copies share.
+    ``rows`` are frequent tokens (token, vector, pages, times, mean first
+    place).  Tokens of equal vectors are a class.  A class is valid if it is
+    large and its tokens have places of their own.  From the most frequent
+    class on, each is taken if it nests: all of it lies in one gap between
+    neighbouring tokens of the classes taken before, of which it is a part, or
+    around or beside them.
     """
-    found, _ = blocks(page)
-    for zone in (3, 2, 1):
-        here = [(p, t) for p, t, z in found if z >= zone]
-        if here:
-            whole = [t for _, t in here]
-            left = [t for p, t in here if _token("t", p, t) not in template] if template else whole
-            return "\n\n".join(left if 2 * sum(map(len, left)) > sum(map(len, whole)) else whole)
-    return ""
+    classes: dict[tuple, list[tuple[float, int]]] = {}
+    for token, vector, pages, times, place in rows:
+        classes.setdefault((vector, pages, times), []).append((place, token))
+    out, taken = [], []
+    for (_, pages, times), held in sorted(classes.items(), key=lambda c: (-c[0][1], c[0][2], min(c[1]))):
+        places = sorted(p for p, _ in held)
+        if len(held) < CLASS_TOKENS or len(set(places)) < len(places):
+            continue
+        # a class of as many pages may interleave (parts of one frame); a rarer one has to stay in one gap
+        wider = [x for n, x in taken if n > pages]
+        if any(bisect.bisect(x, places[0]) != bisect.bisect(x, places[-1]) for x in wider):
+            continue
+        taken.append((pages, places))
+        out += [(token, times == pages) for _, token in held]
+    return sorted(out)
+
+
+def main_text(page: str | None, template: dict[int, bool] | None = None, region: int | None = None, roles: bool = True) -> str:
+    """The blocks of a page's main zone, less those that are template tokens.
+
+    The zone is the element of the token ``region``; an article or main element
+    in or around it goes first, and without one the headings before it, in an
+    element around it, belong to it.  If the zone's template blocks hold half
+    of its characters, they all stay: a template frames an article, and what
+    makes up most of one is text that near copies share.
+    """
+    found, _ = blocks(page, roles)
+    here = _zone(found, region, roles)
+    left = [b for b in here if _token("t", b.path, b.text) not in template] if template else here
+    return "\n\n".join(b.text for b in (left if 2 * _chars(left) > _chars(here) else here))
+
+
+def _chars(held: list[Block]) -> int:
+    return sum(len(b.text) for b in held)
+
+
+def _zone(found: list[Block], region: int | None, roles: bool) -> list[Block]:
+    """The blocks of the main zone."""
+    inside = [region is not None and any(_spot(p) == region for p in b.around) for b in found]
+    if any(inside):
+        if roles:
+            for zone in (3, 2):
+                met = [b for b, i in zip(found, inside) if i and b.zone >= zone]
+                if met:  # an article elsewhere (a teaser beside the region) is none of it
+                    held = {p for b in met for p in b.around if NAME.match(p.rpartition("/")[2])[0] in ("article", "main")}
+                    return [b for b in found if b.zone >= zone and (not held or held & set(b.around))]
+        first = inside.index(True)
+        at = next(p for p in found[first].around if _spot(p) == region)
+        outer = at.rpartition("/")[0]
+        return [
+            b for k, (b, i) in enumerate(zip(found, inside))
+            if (b.zone or not roles) and (i or b.heading and k < first and outer and b.path.startswith(outer + "/") and "/nav" not in b.path)
+        ]
+    for zone in (3, 2, 1) if roles else (0,):
+        if here := [b for b in found if b.zone >= zone]:
+            return here
+    return []
 
 
 def _rows(batches):
     for b in batches:
         out: list[tuple] = []
-        for host, page_id, page in zip(*(c.to_pylist() for c in b.columns)):
-            mark = xxhash.xxh3_64_intdigest(f"{page_id}\0{xxhash.xxh3_64_hexdigest((page or '').encode('utf-8', 'surrogatepass'))}")
-            content = xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "surrogatepass")) >> 1
+        for host, page in zip(*(c.to_pylist() for c in b.columns)):
+            content = xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "surrogatepass"))
+            page_of = content >> 1
             for token, (n, rank) in tokens(page).items():
-                term = int.from_bytes(xxhash.xxh3_64_digest(f"{mark}:{n}".encode()), "little", signed=True)
-                out.append((host, token, term, 1, rank, n, content, content))
-            out.append((host, 0, 0, 1, 0, 1, content, content))
-        host, *rest = zip(*out) if out else [()] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(x, pa.int64()) for x in rest)], ["host", "token", "vector", "pages", "place", "times", "low", "high"])
+                term = int.from_bytes(xxhash.xxh3_64_digest(f"{content}:{n}".encode()), "little", signed=True)
+                out.append((host, token, term, rank, n, page_of))
+            out.append((host, 0, 0, 0, 1, page_of))
+        host, *rest = zip(*out) if out else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(x, pa.int64()) for x in rest)], ["host", "token", "vector", "place", "times", "page"])
 
 
-def templates(pages: DataFrame, folder: str) -> DataFrame:
-    """(host, template): the tokens of each host's valid classes, as one set.
+def _nest(batches):
+    for b in batches:
+        out = []
+        for rows in b.column("rows").to_pylist():
+            out.append([{"token": t, "once": o} for t, o in nested([(r["token"], r["vector"], r["pages"], r["times"], r["at"]) for r in rows])])
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, TEMPLATE)], ["host", "template"])
 
-    A class is valid if it is large and frequent (the constants above), is not
-    made by copies of one page alone, and its tokens stand in one order: their
-    mean first places differ, whatever lies between them.
-    """
-    rows = pages.select("host", F.col("id").cast("string").alias("id"), "html").mapInArrow(
-        _rows, "host string, token long, vector long, pages long, place long, times long, low long, high long"
-    )
+
+TEMPLATE = pa.list_(pa.struct([("token", pa.int64()), ("once", pa.bool_())]))
+
+
+def templates(pages: DataFrame, folder: str) -> DataFrame:
+    """(host, template): the tokens of each host's valid classes, as pairs (token, once)."""
+    common.bounded_batches(pages.sparkSession)
+    # pages of equal content are one page
+    rows = pages.select("host", "html").mapInArrow(_rows, "host string, token long, vector long, place long, times long, page long").distinct()
     seen = common.saved(
         rows.groupBy("host", "token").agg(
-            F.expr("bit_xor(vector)").alias("vector"), F.sum("pages").alias("pages"), F.sum("place").alias("place"),
-            F.sum("times").alias("times"), F.min("low").alias("low"), F.max("high").alias("high"),
+            F.expr("bit_xor(vector)").alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("place").alias("place"), F.sum("times").alias("times"),
         ).where(F.col("pages") >= CLASS_PAGES),
         folder, "tokens",
     )
     size = seen.where("token = 0").select("host", F.col("pages").alias("all"))
-    often = seen.where("token <> 0 AND low <> high").join(common.small(size), "host").where(F.col("pages") >= CLASS_SHARE * F.col("all"))
-    # a frequent token takes its share of a page, so a class has no more tokens than a few pages
-    classes = often.groupBy("host", "vector", "pages", "times").agg(
-        F.collect_list("token").alias("tokens"), F.count_distinct(F.col("place") / F.col("pages")).alias("places")
-    )
-    valid = classes.where((F.size("tokens") >= CLASS_TOKENS) & (F.col("places") == F.size("tokens")))
-    return valid.groupBy("host").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("template"))
-
-
-def _extract(batches):
-    held: dict[str, set[int]] = {}
-    for b in batches:
-        texts = []
-        for host, page, template in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("template")):
-            if not template.is_valid:
-                texts.append(main_text(page))
-                continue
-            if host not in held:
-                if len(held) > 1000:
-                    held.clear()
-                held[host] = set(np.asarray(template.values).tolist())
-            texts.append(main_text(page, held[host]))
-        n = pa.array([len(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), n], ["id", "url", "text", "n_chars"])
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    often = seen.where("token <> 0").join(common.small(size), "host").where(F.col("pages") >= CLASS_SHARE * F.col("all"))
+    # a frequent token takes its share of a page, so a host has no more of them than a few pages
+    one = F.struct("token", "vector", "pages", "times", (F.col("place") / F.col("pages")).alias("at"))
+    return often.groupBy("host").agg(F.collect_list(one).alias("rows")).mapInArrow(_nest, "host string, template array<struct<token:long,once:boolean>>")
+
+
+def _held(host: str, template, cache: dict) -> dict[int, bool]:
+    if host not in cache:
+        if len(cache) > 1000:
+            cache.clear()
+        flat = template.values
+        cache[host] = dict(zip(flat.field("token").to_pylist(), flat.field("once").to_pylist()))
+    return cache[host]
+
+
+def _weights(roles: bool):
+    """Characters of slot text in each template element that stands once on a page, and on the whole page (token 0)."""
+
+    def run(batches):
+        cache: dict[str, dict[int, bool]] = {}
+        for b in batches:
+            sums: dict[tuple, list[int]] = {}
+            for host, page, template in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("template")):
+                held = _held(host, template, cache)
+                for x in blocks(page, roles)[0]:
+                    if roles and not x.zone or _token("t", x.path, x.text) in held:
+                        continue
+                    sums.setdefault((host, 0), [0, 0])[0] += len(x.text)
+                    for p in x.around:
+                        token = _spot(p)
+                        if held.get(token):
+                            one = sums.setdefault((host, token), [0, p.count("/")])
+                            one[0] += len(x.text)
+            host, token = zip(*sums) if sums else ((), ())
+            chars, depth = zip(*sums.values()) if sums else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(x, pa.int64()) for x in (token, chars, depth))], ["host", "token", "chars", "depth"])
+
+    return run
+
+
+def regions(pages: DataFrame, roles: bool = True) -> DataFrame:
+    """(host, region): the innermost template element with more than half of the host's slot text; ``pages`` have templates."""
+    rows = pages.where("template IS NOT NULL").select("host", "html", "template").mapInArrow(_weights(roles), "host string, token long, chars long, depth long")
+    sums = rows.groupBy("host", "token").agg(F.sum("chars").alias("chars"), F.max("depth").alias("depth"))
+    whole = F.max(F.when(F.col("token") == 0, F.col("chars")))
+    each = sums.groupBy("host").agg(whole.alias("all"), F.collect_list(F.struct("depth", "chars", "token")).alias("elements"))  # as many as a template has
+    best = F.array_max(F.filter("elements", lambda e: (e["token"] != 0) & (2 * e["chars"] > F.col("all"))))
+    return each.select("host", best["token"].alias("region")).where("region IS NOT NULL")
+
+
+def _extract(roles: bool):
+    def run(batches):
+        cache: dict[str, dict[int, bool]] = {}
+        for b in batches:
+            texts = []
+            for host, page, template, region in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("template"), b.column("region").to_pylist()):
+                held = _held(host, template, cache) if template.is_valid else None
+                texts.append(main_text(page, held, region, roles))
+            n = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), n], ["id", "url", "text", "n_chars"])
+
+    return run
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roles: bool = True) -> DataFrame:
     """(id, url, text, n_chars) of every row of ``pages``.
 
-    Null and empty pages have the empty text.  Pages without a host share one
-    (empty) host.  Hosts of fewer pages than a class needs have no template;
-    their pages are cut by the elements' roles alone.  Repeated rows are
-    extracted alike.
+    Null and empty pages have the empty text; an empty table gives none.  Pages
+    without a host share one (empty) host.  Pages of equal content count once
+    for a template, so repeated rows change none and are extracted alike.
+    Hosts of fewer pages than a class needs have no template; their pages are
+    cut by the elements' roles alone.  Of elements with as much text the inner
+    one is the region.  ``roles=False`` leaves names and class words aside.
     """
     spark, folder = pages.sparkSession, common.scratch(pages.sparkSession)
     common.bounded_batches(spark)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     made = common.saved(templates(rows, folder), folder, "templates")
-    bytes_each = made.agg(F.coalesce(F.max(F.size("template")), F.lit(0)).alias("n")).first()["n"] * 8 + 100
+    met = rows.join(common.small(made), "host", "left")
+    found = common.saved(regions(met, roles), folder, "regions")
     kind = pages.schema[id_col].dataType.simpleString()
-    met = rows.join(common.small(made), "host", "left").select("id", "url", "host", "html", "template")
-    return met.mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long")
+    met = met.join(common.small(found), "host", "left").select("id", "url", "host", "html", "template", "region")
+    return met.mapInArrow(_extract(roles), f"id {kind}, url string, text string, n_chars long")

@@ -473,3 +473,54 @@ def test_training_repeats(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     x, y = quality.train(once, labels, max_rows=20), quality.train(many, labels, max_rows=20)
     assert np.allclose(x.weights, y.weights) and x.shift == y.shift
+
+
+def layout(i, roles):
+    """A page whose parts have no telling names (or, with roles, some), of one template."""
+    menu = "".join(f"<li><a href=/{k}>Topic {k}</a></li>" for k in range(5))
+    body = "".join(f"<p>Sentence {k} of page {i} with words of its own {i * 31 + k}, long enough to matter.</p>" for k in range(3 + i % 4))
+    side = f"<div><div>Seen today {i * 7}</div><div>Mood {i * 3}</div></div>"
+    return (
+        f"<html><head><title>Site</title></head><body><div><ul>{menu}</ul></div><div><div><h1>Title {i}</h1><div>{body}</div></div>"
+        f"{'<aside>' + side + '</aside>' if roles else side}</div><div>All rights reserved</div></body></html>",
+        "\n\n".join([f"Title {i}", *(f"Sentence {k} of page {i} with words of its own {i * 31 + k}, long enough to matter." for k in range(3 + i % 4))]),
+    )
+
+
+@pytest.mark.parametrize("roles", [True, False])
+def test_html_regions(spark, roles):
+    """Without an article element or telling names the template's main region is the text; copies of rows change nothing."""
+    rows = [(i, f"http://s.org/{i}", layout(i, False)[0], "clash", "clash") for i in range(20)]
+    rows += [(50, "http://s.org/long", layout(3, False)[0].replace("Sentence 0", "Sentence 0 " + "very " * 100_000), "clash", "clash")]
+    schema = "page_id long, url string, html string, host string, template string"
+    for copies in (1, 2):
+        got = {r.id: r for r in html_template.extract(spark.createDataFrame(rows * copies, schema), roles=roles).collect()}
+        for i in range(20):
+            assert got[i].text == layout(i, False)[1], i
+        assert got[50].n_chars == len(layout(3, False)[1]) + 500_000
+
+
+def test_html_templates(spark):
+    """Templates are those of vectors that are built and compared in full."""
+    rng = np.random.default_rng(2)
+    pages = [(i, "h", layout(i, True)[0] if rng.integers(0, 3) else f"<div><p>{i}</p><b>x</b><p>same</p></div>") for i in range(24)]
+    pages += pages[:6] + [(99, "g", "<p>only one</p>")]
+    got = {r.host: {t.token: t.once for t in r.template} for r in html_template.templates(spark.createDataFrame(pages, "id long, host string, html string"), common.scratch(spark)).collect()}
+    distinct = sorted({p for _, h, p in pages if h == "h"})
+    counted = [html_template.tokens(p) for p in distinct]
+    vectors = {t: tuple(c.get(t, (0, 0))[0] for c in counted) for c in counted for t in c}
+    rows = []
+    for t, v in vectors.items():
+        n = sum(x > 0 for x in v)
+        if n >= max(html_template.CLASS_PAGES, html_template.CLASS_SHARE * len(distinct)):
+            rows.append((t, hash(v), n, sum(v), sum(c[t][1] for c in counted if t in c) / n))
+    assert got == {"h": dict(html_template.nested(rows))} and len(got["h"]) >= 10
+
+
+def test_html_nested():
+    """A class nests in one gap of a more frequent one, or is left out; so are small classes and tokens of one place."""
+    frame = [(k, 1, 8, 8, p) for k, p in enumerate((0.0, 10.0, 20.0))]
+    inner = [(10 + k, 2, 5, 15, p) for k, p in enumerate((12.0, 13.0, 14.0))]
+    across = [(20 + k, 3, 5, 5, p) for k, p in enumerate((5.0, 15.0, 16.0))]
+    few, tied = [(30, 4, 5, 5, 1.0), (31, 4, 5, 5, 2.0)], [(40 + k, 5, 6, 6, 3.0) for k in range(3)]
+    assert html_template.nested(frame + inner + across + few + tied) == [(0, True), (1, True), (2, True), (10, False), (11, False), (12, False)]
