@@ -112,10 +112,12 @@ def contaminated(
     fps = F.concat(*(F.col(f"f{n}") for n in lengths)) if lengths else _none("bigint")
     kept = texts.select("id", "th", "n", *(grams(F.col("w"), F.col("n"), n).alias(f"h{n}") for n in lengths))
     kept = kept.select("id", "th", "n", *(winnowed(F.col(f"h{n}"), n).alias(f"f{n}") for n in lengths))
-    # one pass over the texts: word counts of all rows, and the kept hashes that items may have too
-    base = common.saved(kept.select("id", "th", "n", F.filter(fps, lambda x: _set(bits, x)).alias("fps")), folder, "kept")
-    hits = base.where(F.size("fps") > 0).select("id", "th", F.explode("fps").alias("fp")).join(common.small(prints), "fp", "left_semi")
-    hits = common.saved(hits.select("id", "th").distinct(), folder, "hits")
+    # one pass over the texts: the number of words of each row, and whether a kept hash is an item's too
+    known = common.small(prints).withColumn("hit", F.lit(True))
+    rows = kept.select(F.monotonically_increasing_id().alias("row"), "id", "th", "n", fps.alias("fps"))
+    rows = rows.select("row", "id", "th", "n", F.explode_outer("fps").alias("fp")).join(known, "fp", "left")
+    base = common.saved(rows.groupBy("row", "id", "th", "n").agg(F.max("hit").alias("hit")).drop("row"), folder, "kept")
+    hits = common.saved(base.where("hit").select("id", "th").distinct(), folder, "hits")
     near = common.small(hits).select(F.col("id").alias("hid"), F.col("th").alias("hth"))
     # only texts with a hit are split into words again
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
