@@ -88,11 +88,15 @@ def _weight(value: Column, kind: T.DataType) -> Column:
     return F.lit(16)
 
 
+def measured(df: DataFrame) -> int:
+    """Bytes of the rows of ``df``, with what a hash table keeps beside them."""
+    each = sum((_weight(F.col(f"`{f.name}`"), f.dataType).cast("long") for f in df.schema.fields), F.lit(32).cast("long"))
+    return df.agg(F.coalesce(F.sum(each), F.lit(0)).alias("n")).first()["n"]
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast if the measured bytes of ``df`` (a written table) fit; else leave the join to Spark."""
-    each = sum((_weight(F.col(f"`{f.name}`"), f.dataType).cast("long") for f in df.schema.fields), F.lit(32).cast("long"))
-    size = df.agg(F.coalesce(F.sum(each), F.lit(0)).alias("n")).first()["n"]
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if measured(df) <= limit else df
 
 
 def partitions(df: DataFrame, bytes_each: int = 128 << 20) -> int:

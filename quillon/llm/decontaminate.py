@@ -82,7 +82,7 @@ def bitmap(prints: DataFrame) -> Column:
     words = np.zeros(BITS // 64, np.int64)
     for r in prints.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).collect():
         words[r["at"]] = r["bits"]
-    return F.lit(words)
+    return F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>")  # folded to one literal
 
 
 def _set(bits: Column, fp: Column) -> Column:
@@ -104,21 +104,22 @@ def contaminated(
     """
     spark, folder = docs.sparkSession, common.scratch(docs.sparkSession)
     bench = common.saved(item_windows(items, item_id_col, item_text_col, window), folder, "windows")
-    named = common.saved(bench.select("win", "len").distinct().withColumn("wid", F.xxhash64("win", "len")), folder, "named")
-    lengths = sorted((r["len"] for r in named.select("len").distinct().collect()), reverse=True)  # at most ``window`` values
-    prints = common.saved(window_prints(named, window), folder, "prints")
+    named = bench.select("win", "len").distinct().withColumn("wid", F.xxhash64("win", "len"))
+    lengths = sorted((r["len"] for r in bench.select("len").distinct().collect()), reverse=True)  # at most ``window`` values
+    # what is made of the windows (ten hashes of each at most) fits if four times their bytes do
+    hinted = F.broadcast if 4 * common.measured(bench) <= common.BROADCAST_BYTES else lambda df: df
+    prints = window_prints(named, window)
     bits = bitmap(prints)
     texts = _keyed(docs, id_col, text_col)
     fps = F.concat(*(F.col(f"f{n}") for n in lengths)) if lengths else _none("bigint")
     kept = texts.select("id", "th", "n", *(grams(F.col("w"), F.col("n"), n).alias(f"h{n}") for n in lengths))
     kept = kept.select("id", "th", "n", *(winnowed(F.col(f"h{n}"), n).alias(f"f{n}") for n in lengths))
     # one pass over the texts: the number of words of each row, and whether a kept hash is an item's too
-    known = common.small(prints).withColumn("hit", F.lit(True))
+    known = hinted(prints.withColumn("hit", F.lit(True)))
     rows = kept.select(F.monotonically_increasing_id().alias("row"), "id", "th", "n", fps.alias("fps"))
     rows = rows.select("row", "id", "th", "n", F.explode_outer("fps").alias("fp")).join(known, "fp", "left")
     base = common.saved(rows.groupBy("row", "id", "th", "n").agg(F.max("hit").alias("hit")).drop("row"), folder, "kept")
-    hits = common.saved(base.where("hit").select("id", "th").distinct(), folder, "hits")
-    near = common.small(hits).select(F.col("id").alias("hid"), F.col("th").alias("hth"))
+    near = common.small(base.where("hit").select(F.col("id").alias("hid"), F.col("th").alias("hth")).distinct())
     # only texts with a hit are split into words again
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     t = plain.join(near, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth"))).select("id", "th", "text")
@@ -126,13 +127,13 @@ def contaminated(
     t = t.select("id", "th", "n", "w", *(grams(F.col("w"), F.col("n"), n).alias(f"h{n}") for n in lengths))
     t = t.select("id", "th", F.concat(_none("struct<s:int,len:int,win:string>"), *(_around(n, bits) for n in lengths)).alias("v"))
     found = t.select("id", "th", F.explode("v").alias("v")).select("id", "th", "v.*")
-    match = common.saved(found.join(common.small(named), ["win", "len"]).select("id", "th", "s", "len", "wid"), folder, "match")
+    match = common.saved(found.join(hinted(named), ["win", "len"]).select("id", "th", "s", "len", "wid"), folder, "match")
     # the first word that no window before covers opens a run, so words are counted without a list of them
     by_text = Window.partitionBy("id", "th").orderBy("s", "len").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max(F.col("s") + F.col("len")).over(by_text), F.lit(0))
     fresh = F.greatest(F.col("s") + F.col("len") - F.greatest("s", reach), F.lit(0))
     counted = match.withColumn("fresh", fresh).groupBy("id", "th").agg(F.sum("fresh").alias("n_hit"))
-    owners = common.small(common.saved(bench.where("item IS NOT NULL").select("item", F.xxhash64("win", "len").alias("wid")), folder, "owners"))
+    owners = hinted(bench.where("item IS NOT NULL").select("item", F.xxhash64("win", "len").alias("wid")))
     listed = match.select("id", "th", "wid").distinct().join(owners, "wid").groupBy("id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
     c, i = counted.alias("c"), listed.alias("i")
     per = c.join(i, F.col("c.id").eqNullSafe(F.col("i.id")) & (F.col("c.th") == F.col("i.th")), "left").select("c.id", "c.th", "n_hit", "items")
