@@ -131,6 +131,28 @@ def test_transactions(engine):
     assert names(other) == ["a", "b", "d"]
 
 
+def test_writes_at_scale(engine):
+    """Changes meet stored rows by equal joins on the new rows' side, whatever the number of keys; literals are left as they are."""
+    for name in ("a", "b"):
+        engine.insert(User(name=name))
+    seen = []
+    joins = lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString())
+    add, empty = engine.store.add, type(engine.frame("t_user")).isEmpty
+    engine.store.add = lambda name, df: (joins(df), add(name, df))[1]
+    type(engine.frame("t_user")).isEmpty = lambda df: (joins(df), empty(df))[1]
+    try:
+        strange = "`t_user`.`f_name` and `f_nick`, `excluded`.`f_name`"
+        node = s.insert().into(U, s.on_duplicate_key_update(U.f("nick").value_by(n.func("concat", n.expr("?", strange), U.f("name"), n.col("f_name", "excluded").full()))))
+        engine.execute(node.values(U.cols("f_id", "f_name"), 1, "b", 77, "c"))
+    finally:
+        engine.store.add, type(engine.frame("t_user")).isEmpty = add, empty
+    assert seen and not any("NestedLoop" in p or "Cartesian" in p for p in seen)
+    rows = {r.id: (r.name, r.nick) for r in engine.fetch(s.select().from_(U), User)}
+    assert rows == {1: ("a", f"{strange}ab"), 2: ("b", f"{strange}bb"), 77: ("c", None)}
+    engine.compact(U)
+    assert len(engine._tables()["t_user"].parts) == 1 and len(engine.fetch(s.select().from_(U), User)) == 3
+
+
 def test_migration(engine):
     @dataclass
     class User2:

@@ -3,9 +3,10 @@
 import duckdb
 import pytest
 
-from quillon import registry
+from quillon import registry, registry_store
 
-SAMPLE = sorted(registry.PLAIN) + ["insert_select", "upsert_update", "update", "returning", "timestamp_codec", "bool_codec", "json_codec", "repo_fetch_by_key"]
+SAMPLE = sorted(registry.PLAIN) + ["insert_select", "upsert_update", "upsert_duplicate_key", "update", "returning", "timestamp_codec", "bool_codec", "json_codec", "repo_fetch_by_key"]
+SAMPLE += sorted(registry_store.STORE)
 
 
 @pytest.fixture(scope="module")
