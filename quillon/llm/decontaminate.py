@@ -69,10 +69,10 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 def window_prints(windows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(fp): the winnowed hash of each distinct window (win, len)."""
-    w, fp = F.split("win", " "), _none("bigint")
+    parts, fp = windows.select("len", F.split("win", " ").alias("x")), _none("bigint")
     for length in range(window, 0, -1):
-        fp = F.when(F.col("len") == length, winnowed(grams(w, F.size(w), length), length)).otherwise(fp)
-    return windows.select(F.explode(fp).alias("fp")).distinct()
+        fp = F.when(F.col("len") == length, winnowed(grams(F.col("x"), F.size("x"), length), length)).otherwise(fp)
+    return parts.select(F.explode(fp).alias("fp")).distinct()
 
 
 def bitmap(prints: DataFrame) -> Column:
