@@ -139,25 +139,33 @@ def train(
     sample = texts.select("text", "lang", F.xxhash64(F.col("id").cast("string")).alias("rank")).mapInArrow(
         _vectors(idf), "v binary, lang string, rank long"
     )
-    by: dict[str, list] = {}
-    for r in sample.collect():
-        by.setdefault(r["lang"], []).append((r["rank"], r["v"]))
-    found, langs, bounds = [], [], []
-    for lang in sorted(by):
-        x = np.stack([np.frombuffer(v, "<f4") for _, v in sorted(by[lang], key=lambda p: (p[0], bytes(p[1])))]).astype(np.float64)
+    fitted = sample.groupBy("lang").applyInArrow(_fitted(centroids, outside), "lang string, c binary, bound double")
+    # a few centroids a language are all that reaches the driver
+    rows = sorted(((r["lang"], bytes(r["c"]), r["bound"]) for r in fitted.collect()))
+    found = np.stack([np.frombuffer(c, "<f8") for _, c, _ in rows]) if rows else np.zeros((0, SLOTS))
+    return Model(idf, found, [r[0] for r in rows], np.array([r[2] for r in rows]))
+
+
+def _fitted(centroids: int, outside: float):
+    """The centroids and bounds of one language from its chosen rows, of which there are ``fit_rows`` at most."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        held = sorted(zip(rows.column("rank").to_pylist(), rows.column("v").to_pylist()))
+        x = np.stack([np.frombuffer(v, "<f4") for _, v in held]).astype(np.float64)
         x = x[np.linalg.norm(x, axis=1) > 0]
-        if not len(x):
-            continue
-        apart = np.arange(len(x)) % BOUND_EVERY == BOUND_EVERY - 1
-        c = _kmeans(x[~apart], centroids)
-        unseen = x[apart] if apart.any() else x
-        near = unseen @ c.T
-        own = near.argmax(1)
-        found.append(c)
-        langs += [lang] * len(c)
-        # of few unseen rows the least one is the bound; of none nearest to a centroid, the least of all
-        bounds += [float(np.quantile(near[own == i, i], outside)) if (own == i).any() else float(near.max(1).min()) for i in range(len(c))]
-    return Model(idf, np.concatenate(found) if found else np.zeros((0, SLOTS)), langs, np.array(bounds))
+        out = []
+        if len(x):
+            apart = np.arange(len(x)) % BOUND_EVERY == BOUND_EVERY - 1
+            c = _kmeans(x[~apart], centroids)
+            near = (x[apart] if apart.any() else x) @ c.T
+            own = near.argmax(1)
+            # of few unseen rows the least one is the bound; of none nearest to a centroid, the least of all
+            for i in range(len(c)):
+                out.append((c[i].astype("<f8").tobytes(), float(np.quantile(near[own == i, i], outside)) if (own == i).any() else float(near.max(1).min())))
+        lang = rows.column("lang")[0].as_py()
+        return pa.table({"lang": pa.array([lang] * len(out), pa.string()), "c": pa.array([o[0] for o in out], pa.binary()), "bound": pa.array([o[1] for o in out], pa.float64())})
+
+    return run
 
 
 def _predict(model: Model):
