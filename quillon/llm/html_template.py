@@ -23,7 +23,8 @@ import bisect
 import functools
 import html as entities
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -39,6 +40,7 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
+ROLE_MAIN = re.compile(r"role\s*=\s*[\"']?main", re.I)
 DIGITS = re.compile(r"\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -88,39 +90,56 @@ def _marked(attributes: str, inside: bool) -> bool:
     return False
 
 
-@dataclass(frozen=True)
-class Block:
-    """A text block: its path, its text, its zone (0 outside the main text, 1 body, 2 main element, 3 article), the containers around it."""
+class Container(NamedTuple):
+    """An open element that can be a region: the token of its start tag, its name, its depth, and the one around it."""
 
-    path: str
+    token: int
+    name: str
+    depth: int
+    outer: Container | None
+
+
+def _chain(c: Container | None) -> Iterator[Container]:
+    while c is not None:
+        yield c
+        c = c.outer
+
+
+#: What surrounds a page: name, place, outside, zone, container, whether in a heading.
+TOP = ("", 0, False, 1, None, False)
+
+
+class Block(NamedTuple):
+    """A text block: its place, its text, its zone (0 outside the main text, 1 body, 2 main element, 3 article), the containers around it."""
+
+    place: int
     text: str
     zone: int
-    around: tuple[str, ...]
+    around: Container | None
     heading: bool
 
 
-def blocks(page: str | None, roles: bool = True) -> tuple[list[Block], list[tuple[str, int]]]:
-    """Text blocks and start tags (path, how many blocks came before) of a page, in order."""
+def blocks(page: str | None, roles: bool = True) -> tuple[list[Block], list[tuple[int, int]]]:
+    """Text blocks and start tags (token, how many blocks came before) of a page, in order.
+
+    A place is a hash of the labels on the way to an element, so that deep pages cost no more than flat ones.
+    """
     page = page or ""
     found: list[Block] = []
-    tags: list[tuple[str, int]] = []
-    stack: list[tuple[str, str, bool, int]] = []  # name, path, outside, zone
+    tags: list[tuple[int, int]] = []
+    stack: list[tuple] = []  # as TOP
     text: list[str] = []
-    places: dict[str, int] = {}
+    times: dict[int, int] = {}
     at, n = 0, len(page)
 
-    def path() -> str:
-        return stack[-1][1] if stack else ""
-
     def close() -> None:
         if text:
             # references are decoded last, so that a decoded < opens no tag
             whole = SPACE.sub(" ", "".join(text)).strip()
             text.clear()
             if whole:
-                around = tuple(x[1] for x in stack if x[0] in CONTAINERS)
-                zone = 0 if roles and stack and stack[-1][2] else stack[-1][3] if stack else 1
-                found.append(Block(path(), whole, zone, around, any(x[0] in ("h1", "h2") for x in stack)))
+                _, place, out, zone, around, heading = stack[-1] if stack else TOP
+                found.append(Block(place, whole, 0 if roles and out else zone, around, heading))
 
     while at < n:
         m = MARKUP.search(page, at)
@@ -146,10 +165,10 @@ def blocks(page: str | None, roles: bool = True) -> tuple[list[Block], list[tupl
                     del stack[i:]
                     break
             continue
-        outer = stack[-1] if stack else ("", "", False, 1)
+        outer = stack[-1] if stack else TOP
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
-            tags.append((f"{outer[1]}/{name}", len(found)))  # raw text is no block
+            tags.append((_hash(f"{outer[1]}/{name}"), len(found)))  # raw text is no block
             if m[3].endswith("/") and name in ("svg", "math", "object"):
                 continue
             at = end.end() if end else n
@@ -169,39 +188,50 @@ def blocks(page: str | None, roles: bool = True) -> tuple[list[Block], list[tupl
                         del stack[i:]
                     elif stack[i][0] in BLOCK:
                         break
-            outer = stack[-1] if stack else ("", "", False, 1)
+            outer = stack[-1] if stack else TOP
         elif name == "br" or name in ("td", "th"):
             text.append(" ")
         inside = outer[3] > 1
         out = outer[2] or name in OUTSIDE or name == "header" and not inside or (name not in ("html", "body", "article", "main") and _marked(m[3], inside))
         if name == "article" and "comment" in m[3].lower():
             out = True
-        zone = 3 if name == "article" else max(outer[3], 2) if name == "main" or re.search(r"role\s*=\s*[\"']?main", m[3], re.I) else outer[3]
-        place = f"{outer[1]}/{name}{_label(m[3])}"
+        zone = 3 if name == "article" else max(outer[3], 2) if name == "main" or "main" in m[3] and ROLE_MAIN.search(m[3]) else outer[3]
+        place, around = _place(outer[1], name, m[3]), outer[4]
         if name in CONTAINERS:  # containers of one label are told apart by their order
-            nth = places[place] = places.get(place, 0) + 1
-            place += f":{nth}"
+            nth = times[place] = times.get(place, 0) + 1
+            place = _nth(place, nth)
+            around = Container(place, name, around.depth + 1 if around else 0, around)
         tags.append((place, len(found)))
         if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, place, out, zone))
+            stack.append((name, place, out, zone, around, outer[5] or name in ("h1", "h2")))
     close()
     return found, tags
 
 
-def _token(kind: str, path: str, text: str = "") -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(f"{kind}{path}\0{text}".encode("utf-8", "surrogatepass")), "little", signed=True)
+def _hash(text: str) -> int:
+    """A signed 64-bit hash."""
+    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "little", signed=True)
+
+
+@functools.lru_cache(maxsize=1 << 15)
+def _place(outer: int, name: str, attributes: str) -> int:
+    return _hash(f"{outer}/{name}{_label(attributes)}")
+
+
+@functools.lru_cache(maxsize=1 << 15)
+def _nth(place: int, nth: int) -> int:
+    return _hash(f"{place}:{nth}")
 
 
-@functools.lru_cache(maxsize=1 << 16)
-def _spot(path: str) -> int:
-    return _token("s", path)
+def _token(b: Block) -> int:
+    return _hash(f"{b.place}\0{b.text}")
 
 
 def tokens(page: str | None) -> dict[int, list[int]]:
     """Tokens of a page: how often each occurs, and where first."""
     found, tags = blocks(page)
     out: dict[int, list[int]] = {}
-    order = sorted([(2 * i + 1, _token("t", b.path, b.text)) for i, b in enumerate(found)] + [(2 * i, _spot(p)) for p, i in tags])
+    order = sorted([(2 * i + 1, _token(b)) for i, b in enumerate(found)] + [(2 * i, t) for t, i in tags])
     for rank, (_, token) in enumerate(order):
         out.setdefault(token, [0, rank])[0] += 1
     return out
@@ -245,7 +275,7 @@ def main_text(page: str | None, template: dict[int, bool] | None = None, region:
     """
     found, _ = blocks(page, roles)
     here = _zone(found, region, roles)
-    left = [b for b in here if _token("t", b.path, b.text) not in template] if template else here
+    left = [b for b in here if _token(b) not in template] if template else here
     return "\n\n".join(b.text for b in (left if 2 * _chars(left) > _chars(here) else here))
 
 
@@ -255,21 +285,18 @@ def _chars(held: list[Block]) -> int:
 
 def _zone(found: list[Block], region: int | None, roles: bool) -> list[Block]:
     """The blocks of the main zone."""
-    inside = [region is not None and any(_spot(p) == region for p in b.around) for b in found]
-    if any(inside):
+    held = [next((c for c in _chain(b.around) if c.token == region), None) if region is not None else None for b in found]
+    if any(held):
         if roles:
             for zone in (3, 2):
-                met = [b for b, i in zip(found, inside) if i and b.zone >= zone]
+                met = [b for b, c in zip(found, held) if c and b.zone >= zone]
                 if met:  # an article elsewhere (a teaser beside the region) is none of it
-                    held = {p for b in met for p in b.around if NAME.match(p.rpartition("/")[2])[0] in ("article", "main")}
-                    return [b for b in found if b.zone >= zone and (not held or held & set(b.around))]
-        first = inside.index(True)
-        at = next(p for p in found[first].around if _spot(p) == region)
-        outer = at.rpartition("/")[0]
-        return [
-            b for k, (b, i) in enumerate(zip(found, inside))
-            if (b.zone or not roles) and (i or b.heading and k < first and outer and b.path.startswith(outer + "/") and "/nav" not in b.path)
-        ]
+                    mine = {c.token for b in met for c in _chain(b.around) if c.name in ("article", "main")}
+                    return [b for b in found if b.zone >= zone and (not mine or any(c.token in mine for c in _chain(b.around)))]
+        first = next(k for k, c in enumerate(held) if c)
+        outer = held[first].outer
+        before = lambda b: b.heading and any(c is outer for c in _chain(b.around))
+        return [b for k, (b, c) in enumerate(zip(found, held)) if (b.zone or not roles) and (c or k < first and before(b))]
     for zone in (3, 2, 1) if roles else (0,):
         if here := [b for b in found if b.zone >= zone]:
             return here
@@ -338,14 +365,12 @@ def _weights(roles: bool):
             for host, page, template in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("template")):
                 held = _held(host, template, cache)
                 for x in blocks(page, roles)[0]:
-                    if roles and not x.zone or _token("t", x.path, x.text) in held:
+                    if roles and not x.zone or _token(x) in held:
                         continue
                     sums.setdefault((host, 0), [0, 0])[0] += len(x.text)
-                    for p in x.around:
-                        token = _spot(p)
-                        if held.get(token):
-                            one = sums.setdefault((host, token), [0, p.count("/")])
-                            one[0] += len(x.text)
+                    for c in _chain(x.around):
+                        if held.get(c.token):
+                            sums.setdefault((host, c.token), [0, c.depth])[0] += len(x.text)
             host, token = zip(*sums) if sums else ((), ())
             chars, depth = zip(*sums.values()) if sums else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(x, pa.int64()) for x in (token, chars, depth))], ["host", "token", "chars", "depth"])

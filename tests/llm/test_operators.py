@@ -517,6 +517,13 @@ def test_html_templates(spark):
     assert got == {"h": dict(html_template.nested(rows))} and len(got["h"]) >= 10
 
 
+def test_html_deep():
+    """Elements that are never closed cost no more than others."""
+    page = "<div><p>x" * 8000 + "<b title='" + "y" * 100_000
+    assert len(html_template.blocks(page)[0]) == 8000 and html_template.main_text(page).count("x") == 8000
+    assert html_template.main_text("&lt;" * 1000 + "<" * 1000 + "&#xZ;").startswith("<<<")
+
+
 def test_html_nested():
     """A class nests in one gap of a more frequent one, or is left out; so are small classes and tokens of one place."""
     frame = [(k, 1, 8, 8, p) for k, p in enumerate((0.0, 10.0, 20.0))]
