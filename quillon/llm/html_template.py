@@ -38,7 +38,6 @@ CLASS_TOKENS, CLASS_PAGES, CLASS_SHARE = 3, 4, 0.5
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
 ROLE_MAIN = re.compile(r"role\s*=\s*[\"']?main", re.I)
 DIGITS = re.compile(r"\d+")
@@ -135,7 +134,7 @@ def blocks(page: str | None, roles: bool = True) -> tuple[list[Block], list[tupl
     def close() -> None:
         if text:
             # references are decoded last, so that a decoded < opens no tag
-            whole = SPACE.sub(" ", "".join(text)).strip()
+            whole = " ".join("".join(text).split())
             text.clear()
             if whole:
                 _, place, out, zone, around, heading = stack[-1] if stack else TOP
@@ -196,7 +195,7 @@ def blocks(page: str | None, roles: bool = True) -> tuple[list[Block], list[tupl
         if name == "article" and "comment" in m[3].lower():
             out = True
         zone = 3 if name == "article" else max(outer[3], 2) if name == "main" or "main" in m[3] and ROLE_MAIN.search(m[3]) else outer[3]
-        place, around = _place(outer[1], name, m[3]), outer[4]
+        place, around = _place(outer[1], name, m[3] if "class" in m[3] or "id=" in m[3] else ""), outer[4]
         if name in CONTAINERS:  # containers of one label are told apart by their order
             nth = times[place] = times.get(place, 0) + 1
             place = _nth(place, nth)
