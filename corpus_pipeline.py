@@ -15,7 +15,10 @@ from quillon.llm import bpe, common, decontaminate, quality, secret_scan, simhas
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the counted rules or the classifier (fitted on labelled documents) reject; null texts go."""
+    """Drop what the counted rules or the classifier (fitted on labelled documents) reject; null and empty texts go.
+
+    Repeated rows go or stay together; without labels of both kinds the counted rules decide alone.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.filtered(docs, model)
 

@@ -327,7 +327,8 @@ def dedup(
     Removed is each byte covered by a string of ``length`` bytes that starts
     anywhere else in the table, in the same text included; ``spans`` are flat
     (start, end) byte offsets.  Null and empty texts, and texts shorter than
-    ``length``, lose nothing.  Repeated rows are copies of each other.
+    ``length``, lose nothing.  Repeated rows are copies of each other; of equal
+    strings none is kept.  An empty table gives none.
     """
     if length < GRAM:
         raise ValueError(f"strings of fewer than {GRAM} bytes have no anchor")

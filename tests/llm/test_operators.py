@@ -531,3 +531,41 @@ def test_html_nested():
     across = [(20 + k, 3, 5, 5, p) for k, p in enumerate((5.0, 15.0, 16.0))]
     few, tied = [(30, 4, 5, 5, 1.0), (31, 4, 5, 5, 2.0)], [(40 + k, 5, 6, 6, 3.0) for k in range(3)]
     assert html_template.nested(frame + inner + across + few + tied) == [(0, True), (1, True), (2, True), (10, False), (11, False), (12, False)]
+
+
+def test_long_documents(spark):
+    """Whole texts of several blocks: copies across block borders, hits and secrets far from the start, exact round trips."""
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{i}é" if i % 50 == 0 else f"w{i}" for i in rng.integers(0, 10**6, n)]
+    passage, bench = " ".join(word(400)), " ".join(word(12))
+    lead = " ".join(word(20_000))
+    lead = lead[: suffix_dedup.CHUNK - 300]  # the passage lies across a border
+    one = f"{lead} {passage} {' '.join(word(20_000))} {bench} password=abcDEF123456"
+    two = f"{' '.join(word(30_000))} {passage} end"
+    docs = spark.createDataFrame([(1, one, "s"), (2, two, "s"), (3, "short", None)], "doc_id long, text string, source string")
+    texts = {1: one, 2: two, 3: "short"}
+    seen = collections.Counter(t[i : i + 200] for t in (x.encode() for x in texts.values()) for i in range(len(t) - 199))
+    for r in suffix_dedup.dedup(docs).collect():
+        raw = texts[r.id].encode()
+        gone = np.zeros(len(raw), bool)
+        for i in range(len(raw) - 199):
+            if seen[raw[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        assert (r.n_bytes, r.n_removed) == (len(raw), gone.sum()) and r.kept_sha256 == hashlib.sha256(bytes(b for b, g in zip(raw, gone) if not g)).hexdigest()
+    items = spark.createDataFrame([("i", bench), ("j", passage[:300])], "item_id string, text string")
+    hit = {r.id: (r.n_hit > 0, list(r["items"])) for r in decontaminate.contaminated(docs, items).collect()}
+    assert hit == {1: (True, ["i", "j"]), 2: (True, ["j"]), 3: (False, [])}
+    spans = {r.id: [(s.start, s.end, s.kind) for s in r.spans] for r in secret_scan.scan(docs).collect()}
+    at = one.index("password")
+    assert spans == {1: [(at, len(one), "assign")], 2: [], 3: []}
+    for name, op in (("word_bpe_49k.json", "bpe"), ("byte_bpe_50k.json", "files")):
+        path = public_tokenizers.path(name)
+        want = {k: splits.tokenizer(path).encode(t, add_special_tokens=False).ids for k, t in texts.items()}
+        if op == "bpe":
+            got = {r.id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode_decode(docs, path).collect()}
+            assert got == want
+        else:
+            folder = common.scratch(spark)
+            index = token_files.write_token_files(docs, folder, path)
+            got = {r.id: (r.n, r.crc) for r in token_files.read_token_files(index, folder, path).collect()}
+            assert got == {k: (len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for k, x in want.items()}
