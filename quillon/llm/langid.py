@@ -9,6 +9,7 @@ rejected.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,20 +20,21 @@ from . import common
 
 SLOTS = 4096
 CENTROIDS = 3
-#: Learning rows per language that centroids are fitted on at most, those least by a hash of the id.
-FIT_ROWS = 400
+#: Learning rows per language that centroids and bounds are fitted on at most, those least by a hash of the id.
+FIT_ROWS = 800
 #: Share of the texts nearest to a centroid that lie outside its bound, by rows that the centroids have not seen.
 OUTSIDE = 0.005
 #: Of so many learning rows of a language one is kept from the centroids, for the bounds.
-BOUND_EVERY = 4
+BOUND_EVERY = 2
 UNKNOWN = "und"
 LETTER = r"\p{L}"
+WORDS = re.compile(r"[^\W\d_]+").findall
 CHUNK = 1 << 20
 
 
 def gram_counts(text: str | None) -> np.ndarray:
-    """Counts of hashed byte n-grams of two to four bytes over the whole lower-cased text."""
-    raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    """Counts of hashed byte n-grams of two to four bytes over the letters of the whole lower-cased text, a space between words."""
+    raw = np.frombuffer(f" {' '.join(WORDS(text.lower()))} ".encode("utf-8", "surrogatepass") if text else b"", np.uint8)
     total = np.zeros(SLOTS)
     for at in range(0, len(raw), CHUNK):
         x = raw[at : at + CHUNK + 3].astype(np.uint32)
@@ -151,7 +153,7 @@ def _fitted(centroids: int, outside: float):
 
     def run(rows: pa.Table) -> pa.Table:
         held = sorted(zip(rows.column("rank").to_pylist(), rows.column("v").to_pylist()))
-        x = np.stack([np.frombuffer(v, "<f4") for _, v in held]).astype(np.float64)
+        x = np.stack([np.frombuffer(v, "<f4") for _, v in held])
         x = x[np.linalg.norm(x, axis=1) > 0]
         out = []
         if len(x):

@@ -324,7 +324,7 @@ def test_languages_held_out(spark):
     right = sum(r.lang_pred == r.lang for r in got if r.lang is not None)
     known = sum(r.lang is not None for r in got)
     rejected = sum(r.rejected for r in got)
-    assert right >= 0.95 * known and rejected <= 0.06 * len(got), (right, known, rejected)
+    assert right >= 0.98 * known and rejected <= 0.05 * len(got), (right, known, rejected)
     assert model.predict("ζωή και θάνατος στην πόλη του ήλιου " * 5)[2]  # no learned language
 
 
@@ -349,8 +349,9 @@ def test_long_texts(spark, size):
     words = [f"w{i}" for i in rng.integers(0, 5000, size // 5)]
     text = (" ".join(words))[:size] + " é end of it"
     grams = collections.Counter(text[i : i + 3] for i in range(len(text) - 2))
+    raw = f" {' '.join(re.findall(r'[^\W\d_]+', text.lower()))} ".encode()
+    assert langid.gram_counts(text).sum() == sum(len(raw) - n + 1 for n in (2, 3, 4)) and not langid.gram_counts(None).any()
     raw = text.lower().encode()
-    assert langid.gram_counts(text).sum() == sum(len(raw) - n + 1 for n in (2, 3, 4))
     got = np.zeros(2 * quality.SLOTS)
     at, freq = quality.slots(text)
     got[at] = freq
