@@ -352,6 +352,8 @@ def dedup(
         folder, "distinct",
     )
     marks = common.saved(_marked(distinct, length, block_bytes, group_bytes), folder, "marks")
+    for name in ("anchors", "distinct"):  # the result reads the others
+        common.removed(spark, f"{folder}/{name}")
     places = found.select("anchor", "c1", "c2", "id", "th", "start").join(marks, ["anchor", "c1", "c2"])
     listed = places.groupBy("id", "th").agg(F.collect_list(F.struct("start", "ranges")).alias("marks"))
     return _with(packed, listed, "marks").select("id", "packed", "marks").mapInArrow(
