@@ -30,7 +30,7 @@ from .splits import PLAIN, L, N, S, specials, tokenizer, word_ids
 #: The pattern by which the word tokenizer splits; a fixed value of its file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters of text whose words share a list.
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 8 << 20
 
 
 class WordSplitter:

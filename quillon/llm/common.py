@@ -19,7 +19,9 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches small, since one text may hold many kilobytes; let workers find this package."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    # workers give memory back that they no longer use
+    for name, value in (("PYTHONPATH", root), ("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "1")):
+        spark.sparkContext.environment.setdefault(name, value)
     if int(spark.conf.get(ARROW_ROWS, "10000")) > rows:
         spark.conf.set(ARROW_ROWS, str(rows))
 

@@ -180,7 +180,7 @@ BITS = ["f0", "f1", "f2", "f3"]
 #: Texts are compared by their shingles if their fingerprints differ by at most so many standard deviations more than expected.
 DEVIATIONS = 6
 #: Bytes of shingles and texts in one part of a block of texts to compare.
-PART_BYTES, PART_ROWS = 8 << 20, 2048
+PART_BYTES, PART_ROWS = 8 << 20, 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -471,8 +471,8 @@ def _nearest_first(most: int, similarity: float):
     def candidates(root, main, size, f, cross):
         """(distance, i, j) of all pairs that may be similar, by distance."""
         found = []
-        for s in range(0, len(root), 256):
-            e = min(s + 256, len(root))
+        for s in range(0, len(root), 128):
+            e = min(s + 128, len(root))
             ok = root[s:e, None] != root[None, s:]
             if cross:
                 ok &= main[s:e, None] != main[None, s:]

@@ -107,7 +107,7 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("rows", [2048, 1])
+@pytest.mark.parametrize("rows", [simhash.PART_ROWS, 1])
 def test_similar(docs, empty, rows):
     first = {r.id: r.first_id for r in simhash.similar(docs, part_rows=rows).collect() if r.id is not None}
     assert first[4] == first[5] == first[6] == 4 and first[7] == 7 and first[10] == 10
@@ -128,7 +128,7 @@ def jaccard_groups(rows, shingle=5):
     return {k: least[p] for p, (k, _) in zip(part, rows)}
 
 
-@pytest.mark.parametrize("rows", [2048, 200])
+@pytest.mark.parametrize("rows", [simhash.PART_ROWS, 200])
 def test_similar_hot(spark, rows):
     """One passage in every text, and over a thousand near copies of one text that are rarely similar to each other."""
     rng = np.random.default_rng(11)
