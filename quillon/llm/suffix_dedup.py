@@ -29,6 +29,8 @@ CHUNK = 1 << 16
 RUN = 256
 #: Bytes of distinct runs in a block, few enough to stay in a core's cache.
 BLOCK_BYTES = 1 << 16
+#: Bytes of a batch to or from a worker; a single row may exceed them.
+BATCH_BYTES = 4 << 20
 #: An anchor with more bytes of distinct runs goes by its strings' own hashes.
 GROUP_BYTES = 1 << 20
 
@@ -191,18 +193,30 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["id", "th", "packed"])
 
 
-def _run_rows(length: int):
-    """A row for each run around a repeated anchor; its bytes only the first time a task sees them."""
+def _run_rows(length: int, batch_bytes: int = BATCH_BYTES):
+    """A row for each run around a repeated anchor; its bytes only the first time a task sees them.
+
+    The runs of a text hold its bytes several times over, so they go out before their batch ends.
+    """
+    names = ("anchor", "c1", "c2", "at", "start", "n", "bytes")
+
+    def flush(b, rows):
+        out = dict(zip(names, zip(*rows) if rows else ((),) * len(names)))
+        at = pa.array(out["at"], pa.int64())
+        long = lambda k: pa.array(out[k], pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [long("anchor"), long("c1"), long("c2"), b.column("id").take(at), b.column("th").take(at), long("start"), pa.array(out["n"], pa.int32()), pa.array(out["bytes"], pa.binary())],
+            ["anchor", "c1", "c2", "id", "th", "start", "n", "bytes"],
+        )
 
     def run(batches):
         z, seen = zstandard.ZstdDecompressor(), set()
         for b in batches:
-            names = ("anchor", "c1", "c2", "at", "start", "n", "bytes")
-            out = {k: [] for k in names}
-            for i, (packed, wanted) in enumerate(zip(b.column("packed").to_pylist(), b.column("anchors"))):
+            rows, size = [], 0
+            for i, (packed, wanted) in enumerate(zip(b.column("packed"), b.column("anchors"))):
                 if not wanted.is_valid:
                     continue
-                text = z.decompress(packed)
+                text = z.decompress(packed.as_py())
                 held = np.sort(wanted.values.to_numpy().view(np.uint64))
                 for anchor, start, n in runs(np.frombuffer(text, np.uint8), held, length):
                     content = text[start : start + n + length - 1]
@@ -211,15 +225,12 @@ def _run_rows(length: int):
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(digest)
-                    row = (anchor, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), i, start, n, content if new else None)
-                    for k, v in zip(names, row):
-                        out[k].append(v)
-            at = pa.array(out["at"], pa.int64())
-            long = lambda k: pa.array(out[k], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [long("anchor"), long("c1"), long("c2"), b.column("id").take(at), b.column("th").take(at), long("start"), pa.array(out["n"], pa.int32()), pa.array(out["bytes"], pa.binary())],
-                ["anchor", "c1", "c2", "id", "th", "start", "n", "bytes"],
-            )
+                    rows.append((anchor, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), i, start, n, content if new else None))
+                    size += 64 + len(content) * new
+                    if size >= batch_bytes:
+                        yield flush(b, rows)
+                        rows, size = [], 0
+            yield flush(b, rows)
 
     return run
 
@@ -333,7 +344,7 @@ def dedup(
     if length < GRAM:
         raise ValueError(f"strings of fewer than {GRAM} bytes have no anchor")
     spark, folder = docs.sparkSession, common.scratch(docs.sparkSession)
-    common.bounded_batches(spark)
+    common.bounded_batches(spark, size=BATCH_BYTES)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     each = common.saved(rows.mapInArrow(_anchor_rows(length), f"anchor long, id {kind}, th long, c int"), folder, "anchors")

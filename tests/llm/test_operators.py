@@ -8,8 +8,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, common, decontaminate, html_template, langid, quality, secret_scan, simhash, splits, suffix_dedup, token_files, url_graph
@@ -205,6 +207,32 @@ def test_suffixes(docs, empty, group_bytes):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_suffix_batches(spark, empty):
+    """Long texts leave and reach a worker in batches of bounded bytes, whatever their number of rows."""
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(97, 123, 100_000).astype(np.uint8) for _ in range(40)]
+    packed = zstandard.ZstdCompressor()
+    columns = [pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), pa.array([packed.compress(t.tobytes()) for t in texts], pa.binary())]
+    wanted = pa.array([suffix_dedup.anchor_counts(t)[0].view(np.int64) for t in texts], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([*columns, wanted], ["id", "th", "packed", "anchors"])
+    out = list(suffix_dedup._run_rows(200)([batch, batch]))
+    assert max(b.nbytes for b in out) <= 8 << 20
+    rows = [r for b in out for r in b.to_pylist()]
+    assert all(r["bytes"] == texts[r["id"]][r["start"] : r["start"] + r["n"] + 199].tobytes() for r in rows[: len(rows) // 2])
+    assert all(r["bytes"] is None for r in rows[len(rows) // 2 :])  # the task has seen them
+    for k in range(40):
+        once = sorted((r["start"], r["n"]) for r in rows[: len(rows) // 2] if r["id"] == k)
+        assert [s for s, _ in once] == [0, *np.cumsum([n for _, n in once])[:-1]] and sum(n for _, n in once) == 100_000 - 199
+    key, held = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        for before, after in (("64m", str(4 << 20)), ("1m", "1m")):
+            spark.conf.set(key, before)
+            suffix_dedup.dedup(empty)
+            assert spark.conf.get(key) in (after, after + "b")
+    finally:
+        spark.conf.set(key, held)
+
+
 def test_interval_expansion():
     rng = np.random.default_rng(5)
     for _ in range(60):
