@@ -1,8 +1,13 @@
 """Models, changes, transactions, migration and repositories on temporary stores."""
 
 import enum
+import importlib.util
 import json
+import os
+import subprocess
+import sys
 from dataclasses import dataclass
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -13,6 +18,8 @@ from quillon.operators.engine import Engine, ErrorMap, NestedTransaction, Tasks
 from quillon.operators.migrate import entity_relations, migrate
 from quillon.operators.repository import Repository
 from quillon.plans import nodes as n, statements as s
+from quillon.sources import database as sources
+from quillon.sources.catalogue import connected, run
 from quillon.sources.database import Database, ServerSource, feature_database, masked
 from quillon.sources.model import column, columns_by_struct, field_values, non_zero, parse_doc, parse_index, table_of
 from quillon.sources.store import ConflictError, NotFoundError, VersionConflict
@@ -84,6 +91,55 @@ def test_names(monkeypatch):
     assert ServerSource("jdbc:mysql://h:1/a?x=1").with_database("b").url == "jdbc:mysql://h:1/b?x=1"
 
 
+def test_embedded_urls():
+    for url in ("jdbc:derby:memory:a", "jdbc:derby:/a/b@c;create=true", "jdbc:h2:file:~/a", "jdbc:sqlite:file:///a/b", "jdbc:postgresql:shop"):
+        assert ServerSource(url).embedded, url
+    for url in ("jdbc:mysql://h:1/a?x=1", "jdbc:derby://h:1527/a", "jdbc:h2:tcp://h/a", "jdbc:sqlserver://h:1433;databaseName=a", "jdbc:oracle:thin:@h:1521:a", "jdbc:mysql:replication://h/a"):
+        assert not ServerSource(url).embedded, url
+
+
+def test_embedded_copy(spark, tmp_path, monkeypatch):
+    source = ServerSource(f"jdbc:derby:memory:{tmp_path.name}", (("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver"),))
+    connected(spark, source)
+    kinds = "k BIGINT, s CHAR(3), v VARCHAR(9), c CLOB, b BLOB, f DOUBLE, d DECIMAL(20,5), day DATE, t TIMESTAMP, i SMALLINT, y BOOLEAN"
+    row = "'a', 'b', 'c', CAST(X'00ff' AS BLOB), 0.1, 123456789012345.12345, '1970-01-01', '2000-02-29 01:02:03.456789', 7, TRUE"
+    run(
+        spark, source, f"CREATE TABLE held ({kinds})", f"CREATE TABLE bare ({kinds})", f"INSERT INTO held VALUES {', '.join(f'({i}, {row})' for i in range(100))}",
+        "INSERT INTO held (s) VALUES (NULL), ('x'), ('x')",
+    )
+    monkeypatch.setattr(sources, "BATCH_BYTES", 20_000)  # several batches, and several tasks in each
+    monkeypatch.setattr(sources, "TASK_BYTES", 5_000)
+    for table, parts in (("held", 1), ("held", 3), ("bare", 2)):
+        direct = source.read(spark, table, "K", 0, 100, parts)
+        got = sources.copied(spark, direct)
+        assert got.schema.simpleString() == direct.schema.simpleString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, direct.collect())) and got.count() == (103 if table == "held" else 0)
+
+
+def test_embedded_scan_on_executors(tmp_path, sf):
+    """Executors of their own processes can't open the driver's database."""
+    home = tmp_path / "home"  # executors' logs go below Spark's home
+    (home / "work").mkdir(parents=True)
+    for p in Path(importlib.util.find_spec("pyspark").origin).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    code = f"""
+from pyspark.sql import SparkSession
+from quillon.registry_store import STORE
+spark = (
+    SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.executor.memory", "600m")
+    .config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+)
+print(sorted(map(tuple, STORE["jdbc_scan"][0](spark, "{sf}").collect())))
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_", "PYSPARK_", "_PYSPARK"))} | {
+        "PYTHONPATH": str(Path(__file__).resolve().parent.parent), "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": str(tmp_path / "local"),
+    }
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=180)
+    assert done.stdout.strip() == "[(1, 'a', 1), (2, 'b', 2), (3, 'c', None)]", done.stderr[-2000:]
+
+
 def test_changes(engine):
     for name in ("a", "b"):
         engine.insert(User(name=name))
